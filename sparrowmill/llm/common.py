@@ -70,3 +70,23 @@ def small(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings, nulls as empty ones."""
     return ["" if t is None else t for t in column.to_pylist()]
+
+
+class Recent(dict):
+    """A dict of bounded size: when `limit` new keys have come, what wasn't asked for since the last time goes."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
