@@ -45,52 +45,47 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
-def merge(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
-    """Apply `pairs` ((left << 32 | right) -> (rank, merged id)) to `ids`, lowest rank first, leftmost first."""
-    n = len(ids)
+_NONE = 1 << 62
+
+
+def merge(ids: list[int], pairs: dict[int, int], merged: list[int]) -> list[int]:
+    """Apply `pairs` ((left << 32 | right) -> rank << 32) to `ids`, lowest rank first, leftmost first;
+    merged[rank] is the new id.  A leaf holds rank << 32 | place, or _NONE | place if its pair has no rank."""
+    n, get = len(ids), pairs.get
     if n < 2:
         return ids
     size = 1 << (n - 1).bit_length()
-    none = 1 << 62
-    tree = [none] * (2 * size)
-    get = pairs.get
-    for i in range(n - 1):
-        hit = get(ids[i] << 32 | ids[i + 1])
-        if hit is not None:
-            tree[size + i] = hit[0] * size + i
+    tree = [_NONE] * size + [get(a << 32 | b, _NONE) | i for i, (a, b) in enumerate(zip(ids, ids[1:]))] + [_NONE] * (size - n + 1)
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            twin = tree[i ^ 1]
-            if twin < value:
-                value = twin
-            i >>= 1
-            if tree[i] == value:
-                break
-            tree[i] = value
-
-    while tree[1] < none:
-        i = tree[1] % size
+    while (top := tree[1]) < _NONE:
+        i = top & 0xFFFFFFFF
         j = after[i]
-        ids[i] = get(ids[i] << 32 | ids[j])[1]
+        new = ids[i] = merged[top >> 32]
         ids[j] = -1
-        k = after[i] = after[j]
-        put(j, none)
-        hit = None
+        k, h = after[j], before[i]
+        after[i] = k
+        changed = [(j, _NONE)]
         if k < n:
             before[k] = i
-            hit = get(ids[i] << 32 | ids[k])
-        put(i, none if hit is None else hit[0] * size + i)
-        h = before[i]
+            changed.append((i, get(new << 32 | ids[k], _NONE) | i))
+        else:
+            changed.append((i, _NONE))
         if h >= 0:
-            hit = get(ids[h] << 32 | ids[i])
-            put(h, none if hit is None else hit[0] * size + h)
+            changed.append((h, get(ids[h] << 32 | new, _NONE) | h))
+        for at, value in changed:
+            at += size
+            tree[at] = value
+            while at > 1:
+                twin = tree[at ^ 1]
+                if twin < value:
+                    value = twin
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
     return [x for x in ids if x >= 0]
 
 
@@ -112,22 +107,19 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WS}\p{{L}}\p{{N}}]+")
         self.alphabet = byte_alphabet()
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, (a, b) in enumerate(model["merges"]):
             left, right, new = self.vocab.get(a), self.vocab.get(b), self.vocab.get(a + b)
+            self.merged.append(-1 if new is None else new)
             if None not in (left, right, new):
-                self.pairs.setdefault(left << 32 | right, (rank, new))
-        self.words, self.chunks = Recent(REMEMBER), Recent(REMEMBER)
+                self.pairs.setdefault(left << 32 | right, rank << 32)
+        self.words, self.chunks = Recent(REMEMBER, self.word), Recent(REMEMBER, self.row)
 
     def word(self, piece: str) -> list[int]:
         """Ids of one pre-token, given in the byte alphabet."""
-        have = self.words[piece]
-        if have is None:
-            first = [self.vocab.get(c) for c in piece[:-1]] + [self.vocab.get(piece[-1] + self.suffix)]
-            have = merge([x for x in first if x is not None], self.pairs)
-            if len(piece) < 64:
-                self.words.keep(piece, have)
-        return have
+        first = [*map(self.vocab.get, piece[:-1]), self.vocab.get(piece[-1] + self.suffix)]
+        return merge([x for x in first if x is not None], self.pairs, self.merged)
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
@@ -138,10 +130,8 @@ class Codec:
             found = ["".join([alphabet[b] for b in p.encode()]) if not p.isascii() or not p.isprintable() else p for p in self.pieces.findall(text.lower())]
         else:
             found = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-        out: list[int] = []
-        for p in found:
-            out += self.word(p)
-        return out
+        words = self.words
+        return words[found[0]] if len(found) == 1 else [i for p in found for i in words[p]]
 
     def chunk(self, chunk: str) -> list[int]:
         if self.cut is None or "<" not in chunk:
@@ -158,19 +148,16 @@ class Codec:
         """The vocabulary has no decoder: tokens are joined by spaces."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
+    def row(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids and the decoded text of a chunk."""
+        ids = self.chunk(chunk) if chunk else []
+        return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode("utf-8", "surrogatepass")
+
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids and of the decoded text."""
-        rows, known = [], self.chunks
-        for c in text.split(" "):
-            row = known[c]
-            if row is None:
-                ids = self.chunk(c)
-                row = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode("utf-8", "surrogatepass"))
-                if len(c) < 64:
-                    known.keep(c, row)
-            if row[0]:
-                rows.append(row)
-        counts, ids, decoded = zip(*rows) if rows else ((), (), ())
+        counts, ids, decoded = zip(*map(self.chunks.__getitem__, text.split(" ")))
+        if 0 in counts:
+            ids, decoded = [x for x in ids if x], [x for n, x in zip(counts, decoded) if n]
         return sum(counts), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(b" ".join(decoded)).hexdigest()
 
 

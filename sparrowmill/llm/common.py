@@ -73,20 +73,23 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 class Recent(dict):
-    """A dict of bounded size: when `limit` new keys have come, what wasn't asked for since the last time goes."""
+    """A dict that makes what it misses, of bounded size: when `limit` keys have come, what isn't asked for again goes.
 
-    def __init__(self, limit: int) -> None:
+    Keys of 64 characters or more are made each time.
+    """
+
+    def __init__(self, limit: int, make: Callable) -> None:
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.make, self.old = limit, make, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is not None:
-            self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
+        if value is None:
+            value = self.make(key)
+            if len(key) >= 64:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
+        return value

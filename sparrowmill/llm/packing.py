@@ -56,7 +56,7 @@ class Ids:
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         ranks = {bytes([alphabet[c] for c in t]): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in special}
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known = Recent(REMEMBER)
+        self.known = Recent(REMEMBER, lambda p: self._whole(" " + p))
 
     def _whole(self, text: str) -> bytes:
         if text and max(text) <= _LATIN and "<|" not in text:
@@ -67,15 +67,7 @@ class Ids:
         parts = text.split(" ")
         if "" in parts:
             return self._whole(text)
-        known, out = self.known, [self._whole(parts[0])]
-        for p in parts[1:]:
-            b = known[p]
-            if b is None:
-                b = self._whole(" " + p)
-                if len(p) < 64:
-                    known.keep(p, b)
-            out.append(b)
-        return b"".join(out)
+        return self._whole(parts[0]) + b"".join(map(self.known.__getitem__, parts[1:]))
 
 
 def _alphabet() -> dict[int, str]:

@@ -105,13 +105,13 @@ def lzw(data: bytes) -> bytes:
             put(_CLEAR, width)
             codes = {bytes([x]): x for x in range(256)}
             nxt, width = 258, 9
-        elif nxt >= (1 << width) - 1:
+        elif nxt >= 1 << width:
             width += 1
         run = bytes([b])
     if run:
         put(codes[run], width)
         nxt += 1
-        if nxt >= (1 << width) - 1 and width < 12:
+        if nxt >= 1 << width and width < 12:
             width += 1
     put(_END, width)
     if held:
