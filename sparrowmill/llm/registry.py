@@ -4,22 +4,18 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["license_scan", "pii", "quality_knn", "quality_rules", "packing", "html_extract", "toxicity", "tiff", "near_dedup", "bpe"]
+MODULES = ["license_scan", "quality_rules", "packing", "tiff", "near_dedup", "bpe"]
 
 
 def queries() -> dict:
     out: dict = {}
     for m in MODULES:
         out |= importlib.import_module(f"{__package__}.{m}").QUERIES
-    import corpus_pipeline
-
-    return out | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 def oracle_sql() -> dict:
     out: dict = {}
     for m in MODULES:
         out |= getattr(importlib.import_module(f"{__package__}.{m}"), "ORACLES", {})
-    import corpus_pipeline
-
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return out
