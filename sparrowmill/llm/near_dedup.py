@@ -6,13 +6,14 @@ neighbours with a common prefix of three or more.  A pair of similarity 0.75 sha
 in one of the 21 orders with probability 1 - (1 - 0.75^3)^21, that is all but 1e-5.
 
 * Equal sets are one class from the start, so groups of copies cost one row each.
-* The depth adapts to the region: one with more than `WIDE` classes is split by three further
-  minima, chosen in 20 ways as at the root, so that a pair keeps its chance to meet.
-* In a region, the strongest chain of neighbours (a maximum spanning forest on agreeing minima)
-  gives the first candidates; they are confirmed on full sets.  Then each region that still
-  holds several components yields every remaining pair between components whose signatures
-  agree in at least half their places.  So copies aren't expanded into all pairs, and no
-  candidate between unconnected documents is dropped.
+* In a region, the strongest chain of neighbours (a maximum spanning forest on agreeing minima,
+  or the next neighbours in signature order where it is wide) gives the first candidates; they
+  are confirmed on full sets.  Then each region that still holds several components yields
+  every remaining pair between components whose signatures agree in at least half their
+  places.  So copies aren't expanded into all pairs, and no candidate between unconnected
+  documents is dropped.
+* The depth adapts to the region: where that second step would be long, the region is split by
+  three further minima, chosen in 21 ways as at the root, so that a pair keeps its chance to meet.
 
 Defined results: null, empty and blank texts have n_shingles 0 and link with nothing, as do rows
 without a doc_id (component null, kept); rows that share a doc_id are one document; the
@@ -34,7 +35,8 @@ from .graphs import components
 
 DEPTH, ORDERS = 3, 21
 MINIMA = DEPTH * ORDERS
-WIDE, SPLITS = 1024, 2
+WIDE, NEIGHBOURS = 512, 4
+STEPS, SPLITS = 20_000_000, 2
 LEAST_AGREE = 32
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -81,7 +83,7 @@ def _split(batch: pa.RecordBatch) -> dict:
     keys = _prefixes(_matrix(batch.column("sig")))
     region = batch.column("region").to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
     return {"region": S.mix(region * np.uint64(0xE7037ED1A0B428DB) + keys).reshape(-1).view(np.int64),
-            "cid": np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), ORDERS)}
+            **{c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), ORDERS) for c in ("cid", "root")}}
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -91,17 +93,28 @@ def _shared(members: DataFrame) -> DataFrame:
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """region, cid, size.  Wide regions are replaced by deeper ones, `SPLITS` times at most."""
-    level = stash(_shared(map_batches(classes.select("cid", "sig"), _rooted, "region long, cid long")))
-    done = level
-    for _ in range(SPLITS):
-        wide = level.where(F.col("size") > WIDE)
-        if wide.isEmpty():
-            break
-        deeper = map_batches(wide.join(classes.select("cid", "sig"), "cid").select("region", "cid", "sig"), _split, "region long, cid long")
-        level = stash(_shared(deeper.distinct()))
-        done = done.where(F.col("size") <= WIDE).union(level)
-    return done
+    """region, cid, size: the members of all regions with two classes or more."""
+    return stash(_shared(map_batches(classes.select("cid", "sig"), _rooted, "region long, cid long")))
+
+
+def torn_regions(owned: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (region, cid, root) of regions that hold several components.
+
+    Comparing what lies outside the largest component with the whole region takes
+    (n - largest) * n steps; where that exceeds `STEPS`, the region is split into deeper ones, of
+    which again only those with several components count.
+    """
+    done = None
+    for level in range(SPLITS + 1):
+        by_root = owned.groupBy("region", "root").agg(F.count("*").alias("k"))
+        work = by_root.groupBy("region").agg(((F.sum("k") - F.max("k")) * F.sum("k")).alias("work")).where("work > 0")
+        owned = stash(owned.join(work, "region"))
+        near = owned.where(F.col("work") <= STEPS) if level < SPLITS else owned
+        done = near.drop("work") if done is None else done.union(near.drop("work"))
+        wide = owned.where(F.col("work") > STEPS)
+        if level == SPLITS or wide.isEmpty():
+            return done
+        owned = map_batches(wide.join(classes.select("cid", "sig"), "cid").select("region", "cid", "root", "sig"), _split, "region long, cid long, root long").distinct()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -133,8 +146,17 @@ def _agree(sig: np.ndarray, i: int, n: np.ndarray) -> np.ndarray:
 
 
 def _chain(sig: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
-    """A maximum spanning forest over agreement (Prim), without edges below LEAST_AGREE."""
+    """A maximum spanning forest over agreement (Prim), without edges below LEAST_AGREE; in a wide
+    region the next neighbours in the order of the signatures, whose common prefixes are the longest."""
     g, out, cur = len(n), [], 0
+    if g > WIDE:
+        order = np.lexsort(sig.T[::-1])
+        for k in range(1, NEIGHBOURS + 1):
+            x, y = order[:-k], order[k:]
+            ok = (sig[x] == sig[y]).sum(axis=1) >= LEAST_AGREE
+            ok &= 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+            out += zip(x[ok].tolist(), y[ok].tolist())
+        return out
     best, source, left = np.full(g, -1), np.zeros(g, np.int64), np.ones(g, bool)
     left[0] = False
     for _ in range(g - 1):
@@ -233,9 +255,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     roots = stash(components(links))
 
     owned = alive.where("size > 2").select("region", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    owned = stash(owned.select("region", "cid", F.coalesce("root", "cid").alias("root")))
-    torn = owned.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-    rest = owned.join(torn, "region", "left_semi").join(classes.select("cid", "sig", "n"), "cid").select("region", "cid", "n", "sig", "root")
+    owned = torn_regions(owned.select("region", "cid", F.coalesce("root", "cid").alias("root")), classes)
+    rest = owned.join(classes.select("cid", "sig", "n"), "cid").select("region", "cid", "n", "sig", "root")
     open_pairs = stash(_by_region(rest, _between).join(tested, ["a", "b"], "left_anti"))
     more = stash(confirmed(docs, open_pairs))
     if not more.isEmpty():
