@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["license_scan", "quality_rules", "packing", "tiff", "near_dedup", "bpe", "toxicity", "quality_knn"]
+MODULES = ["license_scan", "quality_rules", "packing", "tiff", "near_dedup", "bpe", "toxicity", "quality_knn", "html_extract"]
 
 
 def queries() -> dict:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, pick, table, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 512, 4, 6.0
+SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, RATIO = 20_000, 512, 4, 6.0, 20
 GRADES = (1, 4, 9)
 REJECT = 0.5
 
@@ -72,7 +72,7 @@ def evidence(bags: list[Counter], toxic: np.ndarray) -> dict[str, float]:
         if a >= LEAST_DOCS:
             share = (a + b) / (n0 + n1)
             z = (a / n1 - b / n0) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
-            if z > LEAST_Z and a * n0 > 4 * b * n1:
+            if z > LEAST_Z and a * n0 > RATIO * b * n1:
                 out[w] = z
     if not out:  # few labels: the best words that only toxic documents use
         only = sorted(((a, w) for w, a in df[1].items() if a >= 3 and not df[0][w]), key=lambda x: (-x[0], x[1]))
@@ -98,6 +98,9 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.3
     grade = np.where(y == 1, np.searchsorted(GRADES, hits, side="right"), 0)
     use = (y == 0) | (hits > 0)
     x, grade = np.log1p(raw[use]), grade[use]
+    # toxic documents are few: both kinds weigh the same in the likelihood
+    share = np.bincount(grade > 0, minlength=2) / len(grade)
+    weight = 0.5 / np.maximum(share, 1e-9)[(grade > 0).astype(int)]
     k = len(GRADES)
     params = np.concatenate([np.full(len(words), 1.0), [1.0], np.zeros(k - 1)])  # weights, first threshold, log gaps
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -109,7 +112,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.3
         hi, lo = _sigmoid(cut[grade + 1] - s), _sigmoid(cut[grade] - s)
         hi[grade == k], lo[grade == 0] = 1.0, 0.0
         p = np.maximum(hi - lo, 1e-12)
-        dh, dl = hi * (1 - hi) / p, lo * (1 - lo) / p
+        dh, dl = weight * hi * (1 - hi) / p, weight * lo * (1 - lo) / p
         g_theta = np.array([dh[grade == j].sum() - dl[grade == j + 1].sum() for j in range(k)])
         grad = np.concatenate([-(x.T @ (dh - dl)), [g_theta.sum()], [g_theta[j:].sum() * gaps[j - 1] for j in range(1, k)]]) / len(s)
         grad[: len(words)] -= l2 * w
