@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["license_scan", "quality_rules", "packing", "tiff", "near_dedup", "bpe", "toxicity", "quality_knn", "html_extract"]
+import corpus_pipeline
 
+MODULES = ["license_scan", "pii", "quality_knn", "quality_rules", "packing", "html_extract", "toxicity", "tiff", "near_dedup", "bpe"]
 
-def queries() -> dict:
+
+def _gathered(name: str) -> dict:
     out: dict = {}
     for m in MODULES:
-        out |= importlib.import_module(f"{__package__}.{m}").QUERIES
+        out |= getattr(importlib.import_module(f"{__package__}.{m}"), name, {})
     return out
 
 
+def queries() -> dict:
+    return _gathered("QUERIES") | {"pipeline": corpus_pipeline.run}
+
+
 def oracle_sql() -> dict:
-    out: dict = {}
-    for m in MODULES:
-        out |= getattr(importlib.import_module(f"{__package__}.{m}"), "ORACLES", {})
-    return out
+    return _gathered("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
