@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 def counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events per type and window."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if e.isStreaming else e
     return e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """user_id, start, end, n: runs of a user's events without a pause of `gap`."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if e.isStreaming else e
     s = e.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
     return s.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
