@@ -3,7 +3,7 @@
 Terms are words and the shapes of tokens (letters as A or a, digits as 0, runs shortened), and
 marks for how much of a text repeats.  Weights are log counts times inverse document frequency; the
 singular vectors of the labelled documents' matrix span the latent space.  The labelled
-vectors are broadcast (at most `SAMPLE` x `DIMENSIONS` floats, 2 MB), each block of documents is
+vectors are broadcast (at most `SAMPLE` x `DIMENSIONS` floats, under 1 MB), each block of documents is
 multiplied with all of them, and the `NEAREST` most similar vote with their similarity.  Votes
 count per label in inverse proportion to the label's frequency, so that the rarer label isn't outvoted.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, pick, table, texts_of
 
-SAMPLE, TERMS, DIMENSIONS, NEAREST, BLOCK = 8_000, 4_096, 48, 25, 256
+SAMPLE, TERMS, DIMENSIONS, NEAREST, BLOCK = 4_000, 2_048, 48, 25, 256
 THRESHOLD, PRIOR = 0.3, 0.5
 _RUNS = re.compile(r"a+|A+|0+|([^\sa-zA-Z0])\1+")
 
@@ -148,10 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # each label gives half of the sample at most, so the rarer one is well covered
     parts = [rows.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     # `sample` rows of 12 bytes: the broadcast is bounded.
-    got = pick(docs, "doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    got = pick(docs, "doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").dropDuplicates(["doc_id"])
     texts, quality = [], []
-    for r in got.toLocalIterator():
-        texts.append((r["text"] or "")[:])
+    for r in sorted(got.collect(), key=lambda r: r["doc_id"]):
+        texts.append(r["text"] or "")
         quality.append(int(r["quality"]))
     return fit(texts, quality)
 
