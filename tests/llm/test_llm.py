@@ -36,9 +36,8 @@ ODD = [
 def odd(spark):
     rows = [(i, t, None, "src", None if t is None else len(t)) for i, t in ODD]
     df = spark.createDataFrame(rows, DOCS)
-    for c in ("score", "kept", "n_words", "spans", "region", "cid", "size", "TEXT", "_t", "labels"):  # names that operators use
-        df = df.withColumn(c, F.lit("x"))
-    return df.repartition(3)
+    more = ("score", "kept", "n_words", "spans", "region", "cid", "size", "TEXT", "_t", "labels", "score")  # names that operators use
+    return df.repartition(3).select("*", *[F.lit("x").alias(c) for c in more])
 
 
 @pytest.fixture(scope="module")
