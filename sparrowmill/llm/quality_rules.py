@@ -55,6 +55,9 @@ def measured(docs: DataFrame, text: Column) -> DataFrame:
     Words in windows that occur twice: hash each window of three words to 64 bits, and only if
     some hash repeats, sort (hash, place), keep places whose neighbour has the same hash, and
     add up what the sorted places cover.  n log n in the words of one text, whatever repeats.
+
+    The measurements go through a generator of one row: the optimizer would push a caller's filter
+    below plain columns and write each of them out at every use, which never ends.
     """
     t = F.coalesce(text, F.lit(""))
     df = docs.withColumn("_t", t)
@@ -70,7 +73,7 @@ def measured(docs: DataFrame, text: Column) -> DataFrame:
     df = df.withColumn("_p", F.expr(
         "sort_array(transform(filter(_s, (x, k) -> coalesce(x.h = get(_s, k - 1).h, false) OR coalesce(x.h = get(_s, k + 1).h, false)), x -> x.i))"))
     covered = F.expr("coalesce(3 + aggregate(zip_with(slice(_p, 2, greatest(size(_p) - 1, 0)), slice(_p, 1, greatest(size(_p) - 1, 0)), (b, a) -> least(3, b - a)), 0, (s, x) -> s + x), 0)")
-    return df.withColumns({
+    values = {
         "_m_n_words": F.col("_n").cast("long"),
         "_m_word_chars": F.length(F.array_join("_w", "")).cast("long"),
         "_m_n_symbols": _count(F.col("_t"), "#*$%&|<>"),
@@ -79,7 +82,9 @@ def measured(docs: DataFrame, text: Column) -> DataFrame:
         "_m_n_lines": F.size("_l").cast("long"),
         "_m_n_upper": _count(F.col("_t"), "\\p{Lu}"),
         "_m_n_bangs": (F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit("")))).cast("long"),
-    }).drop("_t", "_b", "_w", "_n", "_l", "_h", "_s", "_p")
+    }
+    df = df.withColumn("_m", F.explode(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))))
+    return df.withColumns({n: F.col("_m")[n] for n in values}).drop("_m", "_t", "_b", "_w", "_n", "_l", "_h", "_s", "_p")
 
 
 def ledger(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
@@ -118,16 +123,11 @@ def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of `docs` that pass a policy, unchanged.  One pass, no join, so repeated or missing ids don't matter.
-
-    The bits go through a generator of one row: the optimizer would push a filter on a plain column below the
-    measurements and write each of them out at every use, which never ends.
-    """
+    """The rows of `docs` that pass a policy, unchanged.  One pass, no join, so repeated or missing ids don't matter."""
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     m = measured(flat, F.col(f"_c{names.index('text')}")).withColumnsRenamed({f"_m_{n}": n for n in MEASURES})
-    m = m.withColumn("_bits", F.explode(F.array(_bits(RULES))))
-    kept = m.where(F.col("_bits").bitwiseAND(F.lit(POLICIES[version])) == 0)
+    kept = m.where(_bits(RULES).bitwiseAND(F.lit(POLICIES[version])) == 0)
     return kept.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
 
 
