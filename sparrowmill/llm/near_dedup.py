@@ -10,7 +10,8 @@ in one of the 21 orders with probability 1 - (1 - 0.75^3)^21, that is all but 1e
   or the next neighbours in signature order where it is wide) gives the first candidates; they
   are confirmed on full sets.  Then each region that still holds several components yields
   every remaining pair between components whose signatures agree in at least half their
-  places.  So copies aren't expanded into all pairs, and no candidate between unconnected
+  places and whose sketches (the 256 smallest hashes of each set, so all of a short text) don't
+  rule a link out.  So copies aren't expanded into all pairs, and no candidate between unconnected
   documents is dropped.
 * The depth adapts to the region: where that second step would be long, the region is split by
   three further minima, chosen in 21 ways as at the root, so that a pair keeps its chance to meet.
@@ -38,6 +39,8 @@ MINIMA = DEPTH * ORDERS
 WIDE, NEIGHBOURS = 512, 4
 STEPS, SPLITS = 20_000_000, 2
 LEAST_AGREE = 32
+#: Hashes in a sketch; how many standard deviations below 0.75 a sampled similarity may be; hashes that may collide.
+SKETCH, DEVIATIONS, COLLISIONS = 256, 4.5, 2
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -48,17 +51,18 @@ def _binary(rows: list[bytes]) -> pa.Array:
 
 def _signed(batch: pa.RecordBatch) -> dict:
     a, b = S.coefficients(MINIMA)
-    n, fp, sig = [], [], []
+    n, fp, sig, low = [], [], [], []
     for s in S.shingle_sets(texts_of(batch.column(1))):
         n.append(len(s))
         fp.append(S.fingerprint(s))
         sig.append(S.signature(s, a, b).tobytes() if len(s) else b"")
-    return {"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "fp": _binary(fp), "sig": _binary(sig)}
+        low.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
+    return {"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "fp": _binary(fp), "sig": _binary(sig), "low": _binary(low)}
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (128 bits of the set), sig (63 minima of 32 bits)."""
-    return map_batches(pick(docs, "doc_id", "text"), _signed, "doc_id long, n_shingles long, fp binary, sig binary")
+    """doc_id, n_shingles, fp (128 bits of the set), sig (63 minima of 32 bits), low (the set's 256 smallest hashes, 32 bits of each)."""
+    return map_batches(pick(docs, "doc_id", "text"), _signed, "doc_id long, n_shingles long, fp binary, sig binary, low binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -197,18 +201,49 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b)
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    """One row of `SKETCH` places for each sketch; places that a short one leaves are the largest value."""
+    out = np.full((len(column), SKETCH), 0xFFFFFFFF, np.uint32)
+    for k, low in enumerate(column.to_pylist()):
+        out[k, : len(low) // 4] = np.frombuffer(low, np.uint32)
+    return out
+
+
+def _maybe(low: np.ndarray, n: np.ndarray, i: int, them: np.ndarray) -> np.ndarray:
+    """Which rows of `them` may have a similarity of 0.75 with row i.
+
+    Below the smaller of two sketches' ends both sets are known whole, so what the sketches share
+    there is a sample of the union; two short sets are compared in full.
+    """
+    keep = []
+    mine = low[i][: n[i]]
+    for at in range(0, len(them), 4096):
+        rows = them[at : at + 4096]
+        theirs = low[rows]
+        end = np.minimum(np.where(n[rows] > SKETCH, theirs[:, -1], 0xFFFFFFFF), mine[-1] if n[i] > SKETCH else 0xFFFFFFFF)
+        known = (np.arange(SKETCH)[None, :] < n[rows][:, None]) & (theirs <= end[:, None])
+        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        both = ((mine[place] == theirs) & known).sum(axis=1)
+        union = known.sum(axis=1) + np.searchsorted(mine, end, side="right") - both
+        sampled = (n[rows] > SKETCH) | (n[i] > SKETCH)
+        keep.append(both + COLLISIONS + np.where(sampled, DEVIATIONS * np.sqrt(0.1875 * union), 0) >= 0.75 * union)
+    return them[np.concatenate(keep)] if keep else them
+
+
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a region between different components that may be similar; the largest component is never a source."""
     for t in _grouped(batches):
         region, cid, n, sig = _cols(t)
-        root = t.combine_chunks().column("root").to_numpy()
+        whole = t.combine_chunks()
+        root, low = whole.column("root").to_numpy(), _sketches(whole.column("low"))
         a, b = [], []
         at = _runs(region)
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
             r, s = root[i:j], sig[i:j]
             ids, counts = np.unique(r, return_counts=True)
             for k in np.flatnonzero(r != ids[counts.argmax()]).tolist():
-                for y in np.flatnonzero((_agree(s, k, n[i:j]) >= LEAST_AGREE) & (r != r[k])).tolist():
+                them = np.flatnonzero((_agree(s, k, n[i:j]) >= LEAST_AGREE) & (r != r[k]))
+                for y in _maybe(low[i:j], n[i:j], k, them).tolist():
                     a.append(cid[i + k])
                     b.append(cid[i + y])
         yield _pairs(a, b)
@@ -247,7 +282,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     signed = stash(signatures(docs))
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stash(some.groupBy("fp").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
+    classes = stash(some.groupBy("fp").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("n_shingles").alias("n")))
     alive = regions(classes)
     full = alive.select("region", "cid").join(classes.select("cid", "sig", "n"), "cid").select("region", "cid", "n", "sig")
     tested = stash(_by_region(full, _chains))
@@ -256,14 +291,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     owned = alive.where("size > 2").select("region", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     owned = torn_regions(owned.select("region", "cid", F.coalesce("root", "cid").alias("root")), classes)
-    rest = owned.join(classes.select("cid", "sig", "n"), "cid").select("region", "cid", "n", "sig", "root")
+    rest = owned.join(classes.select("cid", "sig", "low", "n"), "cid").select("region", "cid", "n", "sig", "low", "root")
     open_pairs = stash(_by_region(rest, _between).join(tested, ["a", "b"], "left_anti"))
     more = stash(confirmed(docs, open_pairs))
     if not more.isEmpty():
         roots = stash(components(links.union(more)))
 
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("fp", F.coalesce("root", "cid").alias("component_id"))
-    out = signed.drop("sig").join(named, "fp", "left")
+    out = signed.drop("sig", "low").join(named, "fp", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     comp = F.when(F.col("doc_id").isNotNull(), comp)
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
