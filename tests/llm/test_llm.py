@@ -434,3 +434,27 @@ def test_registered():
     q = registry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in q if k != "pipeline"} and "pipeline" in q
     assert set(registry.oracle_sql()) <= set(q)
+
+
+def test_sketches():
+    """No pair of similarity 0.75 or more is ruled out; short sets are compared in full."""
+    r = np.random.default_rng(3)
+    for size in (3, 40, 256, 257, 900, 6000):
+        base = np.unique(r.integers(0, 1 << 64, size, np.uint64))
+        sets = [base] + [np.unique(np.concatenate([base[r.random(len(base)) > cut], r.integers(0, 1 << 64, int(cut * size), np.uint64)])) for cut in (0.0, 0.05, 0.1, 0.14, 0.3, 0.6) for _ in range(8)]
+        sets = [s for s in sets if len(s)]
+        low = near_dedup._sketches(near_dedup._binary([(s[: near_dedup.SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]))
+        n, them = np.array([len(s) for s in sets]), np.arange(len(sets))
+        for i, s in enumerate(sets):
+            got = set(near_dedup._maybe(low, n, i, them).tolist())
+            like = [len(np.intersect1d(s, o)) / len(np.union1d(s, o)) for o in sets]
+            assert {k for k in them.tolist() if like[k] >= 0.75} <= got
+            if size >= 40:
+                assert not got & {k for k in them.tolist() if like[k] < 0.4}
+
+
+def test_rules_take_filters(odd):
+    """A filter on any measurement can be planned."""
+    book = quality_rules.ledger(odd)
+    for n in [*quality_rules.MEASURES, "fail_bits"]:
+        assert book.where(F.col(n) > 1).count() == sum(r[n] > 1 for r in book.select(n).collect())
