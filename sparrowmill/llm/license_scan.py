@@ -6,6 +6,11 @@ matching statistic).  Runs of `LEAST` words or more that can't be extended are m
 one template that lie in order in text and template are chained into a span, and the share of
 the template that the chain covers is its score.  A template is reported from `SHARE` on.
 
+Templates share passages, so a match may be part of a longer run of another template.  Matches whose
+run no template extends lead: what they alone cover counts always.  A span that needs others is
+reported if the template stands there whole in one run, or if its words outside the leading spans of
+other labels reach `SHARE`; so a notice of one licence isn't also read as its near variants.
+
 The three base phrases are templates of their own: one ends at a word if it is a suffix of the
 current run, which each state knows.
 
@@ -110,9 +115,20 @@ class Scanner:
         names = [*templates, *base]
         seqs = [words_of(t) for t in [*templates.values(), *base]]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for s in seqs for w in s))}
-        self.auto = Automaton([[self.ids[w] for w in s] for s in seqs])
+        seqs_ids = [[self.ids[w] for w in s] for s in seqs]
+        self.auto = Automaton(seqs_ids)
         self.names, self.sizes, self.n_templates = names, [len(s) for s in seqs], len(templates)
         self.base = base
+        #: per state and then along its suffix links: (longest run, template, place of the last word, the template's next word or -1),
+        #: each place once, at the longest run that ends there
+        self.places: list[list[tuple[int, int, int, int]]] = [[] for _ in self.auto.next]
+        for s in range(1, len(self.auto.next)):
+            u, seen = s, set()
+            while u > 0 and self.auto.length[u] >= LEAST:
+                new = {(t, e) for t, e in self.auto.ends[u] - seen if t < self.n_templates}
+                self.places[s] += [(self.auto.length[u], t, e, seqs_ids[t][e + 1] if e + 1 < len(seqs[t]) else -1) for t, e in sorted(new)]
+                seen |= new
+                u = self.auto.link[u]
         phrases = {tuple(self.ids[w] for w in words_of(p)): p for p in base}
         #: per state, the base phrases that its longest run ends with
         self.closing: list[list[tuple[int, str]]] = [[] for _ in self.auto.next]
@@ -152,16 +168,21 @@ class Scanner:
         stats = self.statistics(words)
         found: list[tuple[int, str]] = []
         matches: dict[int, list[tuple[int, int, int]]] = {}
+        leading: dict[int, list[tuple[int, int, int]]] = {}
         for k, (i, s, run) in enumerate(stats):
             for n, phrase in self.closing[s]:
                 if run >= n:
                     found.append((i - n + 1, phrase))
-            longer = k + 1 < len(stats) and stats[k + 1][0] == i + 1 and stats[k + 1][2] == run + 1
-            if run >= LEAST and not longer:
-                for t, end in self.auto.ends[s]:
-                    if t < self.n_templates:
-                        matches.setdefault(t, []).append((i - run + 1, end - run + 1, run))
-        spans = [(self.label(self.names[t]), a, b, round(share, 6)) for t, rows in matches.items() for a, b, share in self._chains(t, rows)]
+            if run >= LEAST:
+                longer = k + 1 < len(stats) and stats[k + 1][0] == i + 1 and stats[k + 1][2] == run + 1
+                after = self.ids.get(words[i + 1]) if i + 1 < len(words) else None
+                for longest, t, end, follows in self.places[s]:
+                    if follows != after:
+                        n = min(run, longest)
+                        matches.setdefault(t, []).append((i - n + 1, end - n + 1, n))
+                        if n == run and not longer:
+                            leading.setdefault(t, []).append(matches[t][-1])
+        spans = [(self.label(self.names[t]), a, b, round(share, 6)) for t, a, b, share in self._spans(matches, leading)]
         base = sorted({self.base[p] for _, p in found})
         labels = sorted({*base, *(x[0] for x in spans)})
         score = max([1.0] * bool(found) + [x[3] for x in spans], default=0.0)
@@ -169,17 +190,49 @@ class Scanner:
         return {"n_words": len(words), "n_base": len(found), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                 "base_labels": ",".join(base), "labels": ",".join(labels), "score": score, "spans": ",".join(f"{n}:{a}:{b}" for n, a, b, _ in sorted(spans, key=lambda x: (x[1], x[2], x[0])))}
 
-    def _chains(self, t: int, rows: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-        """Spans (first word, last word + 1, share of the template): a match goes on with the open chain
-        if it lies after it in text and template, within GAP words of it; otherwise it opens a new one."""
-        out: list[list[int]] = []
-        for a, b, n in sorted(rows):
-            if out and 0 <= a - out[-1][1] <= GAP and b >= out[-1][2]:
-                cur = out[-1]
-                cur[1], cur[2], cur[3] = a + n, b + n, cur[3] + n
-            else:
-                out.append([a, a + n, b + n, n])
-        return [(a, b, min(1.0, n / self.sizes[t])) for a, b, _, n in out if n >= SHARE * self.sizes[t]]
+    def _spans(self, matches: dict[int, list], leading: dict[int, list]) -> list[tuple[int, int, int, float]]:
+        """Reported spans (template, first word, last word + 1, share of the template)."""
+        strong = {t: self._chains(t, rows) for t, rows in leading.items()}
+        taken: dict[str, set[int]] = {}  # per label, the words of its leading spans
+        for t, chains in strong.items():
+            taken.setdefault(self.label(self.names[t]), set()).update(w for *_, chain in chains for a, _, n in chain for w in range(a, a + n))
+        out = []
+        for t, rows in matches.items():
+            own = strong.get(t, [])
+            open_rows = {x for *_, chain in own for x in chain}
+            others = set().union(*(w for name, w in taken.items() if name != self.label(self.names[t])))
+            for first, last, share, chain in self._chains(t, rows):
+                free = sum(w not in others for a, _, n in chain for w in range(a, a + n))
+                whole = any(n == self.sizes[t] for *_, n in chain)
+                if whole or free >= SHARE * self.sizes[t] or not open_rows.isdisjoint(chain):
+                    out.append((t, first, last, share))
+                    open_rows.difference_update(chain)
+            out += [(t, first, last, share) for first, last, share, chain in own if open_rows.issuperset(chain)]
+        return out
+
+    def _chains(self, t: int, rows: list[tuple[int, int, int]]) -> list[tuple[int, int, float, list[tuple[int, int, int]]]]:
+        """Spans (first word, last word + 1, share of the template, matches): a match goes on with the chain of most words
+        among those it lies after in text and template, within GAP words; each match is in one span at most."""
+        rows = sorted(rows)
+        best, before = [], []
+        ending: dict[int, list[int]] = {}  # by first word after the match
+        for j, (a, b, n) in enumerate(rows):
+            ahead = [i for at in range(a - GAP, a + 1) for i in ending.get(at, ()) if rows[i][1] + rows[i][2] <= b]
+            i = max(ahead, key=best.__getitem__, default=-1)
+            before.append(i)
+            best.append(n + (best[i] if i >= 0 else 0))
+            ending.setdefault(a + n, []).append(j)
+        out, used = [], set()
+        for j in sorted(range(len(rows)), key=lambda j: (-best[j], j)):
+            chain = []
+            while j >= 0 and j not in used:
+                used.add(j)
+                chain.append(rows[j])
+                j = before[j]
+            n = sum(x[2] for x in chain)
+            if n >= SHARE * self.sizes[t]:
+                out.append((chain[-1][0], chain[0][0] + chain[0][2], min(1.0, n / self.sizes[t]), chain))
+        return out
 
 
 @cache

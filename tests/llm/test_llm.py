@@ -119,6 +119,49 @@ def test_matching_statistics():
         assert run == max(k for k in range(1, 40) if k <= len(t) and any(t[-k:] in f for f in flat))
 
 
+def test_licence_inside_a_longer_run():
+    s = license_scan.scanner()
+    text = 'Licensed under the Apache License, Version 2.0 (the "License"); see LICENSE'
+    assert s.scan(text)["labels"] == "apache-2.0" and s.scan(text)["score"] == 1 and s.scan(text)["spans"] == "apache-2.0:0:8"
+    long = license_scan.words_of(license_scan.TEMPLATES["apache-2.0"])
+    for n in range(8, len(long) + 1):
+        assert s.scan(" ".join(long[:n]) + " " + prose(20))["labels"] == "apache-2.0", n
+    # every match is one that can't be extended in its own template, and none is missing
+    r = random.Random(2)
+    seqs = [[r.choice("abc") for _ in range(n)] for n in (40, 25, 9, 6)]
+    s = license_scan.Scanner({str(k): " ".join(x) for k, x in enumerate(seqs)}, {})
+    got = []
+    s._spans = lambda matches, _: got.extend((t, *x) for t, rows in matches.items() for x in rows) or []
+    w = [r.choice("abcd") for _ in range(400)] + seqs[0] + seqs[2]
+    s.scan(" ".join(w))
+    want = []
+    for t, x in enumerate(seqs):
+        for i in range(len(w)):
+            for j in range(len(x)):
+                if w[i] == x[j] and (i == 0 or j == 0 or w[i - 1] != x[j - 1]):
+                    n = next(k for k in range(1, len(x) + 1) if i + k >= len(w) or j + k >= len(x) or w[i + k] != x[j + k])
+                    want += [(t, i, j, n)] * (n >= license_scan.LEAST)
+    assert sorted(got) == sorted(want) and want
+
+
+def test_licence_chains():
+    s = license_scan.Scanner({"t": " ".join(f"w{i}" for i in range(40))}, {})
+    # a short match elsewhere in the template doesn't end the chain that it overlaps
+    assert [x[:3] for x in s._chains(0, [(0, 0, 12), (13, 30, 4), (14, 12, 20)])] == [(0, 34, 0.8)]
+    assert sorted(x[:3] for x in s._chains(0, [(0, 0, 40), (40, 0, 30)])) == [(0, 40, 1.0), (40, 70, 0.75)]
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_licences_are_not_read_as_their_variants(name):
+    s = license_scan.scanner()
+    t = license_scan.TEMPLATES[name]
+    base = {license_scan.BASE[p] for p in license_scan.BASE if f" {p} " in f" {' '.join(license_scan.words_of(t))} "}
+    for text in (t, prose(9) + " " + t + " " + prose(9)):
+        assert set(s.scan(text)["labels"].split(",")) == {s.label(name)} | base
+    later = ", either version 3 of the License, or (at your option) any later version"
+    assert "lgpl" in s.scan(license_scan.TEMPLATES["lgpl"] + later)["labels"].split(",") and not {"cc-by"} & set(s.scan(license_scan.TEMPLATES["cc-by-sa"])["labels"].split(","))
+
+
 # --- personal data
 
 
