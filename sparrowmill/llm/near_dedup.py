@@ -304,13 +304,32 @@ def dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _row_per_id(flat: DataFrame, key: str, text: str) -> DataFrame:
+    """`flat` with one row for each id, that of the least text; rows without an id all stay.
+
+    Only rows whose id repeats are aggregated, or all where those ids are too many to broadcast; copies
+    go together before the shuffle.
+    """
+    ids = stash(flat.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_again")))
+    n = ids.count()
+    if not n:
+        return flat
+    if n <= BROADCAST_IDS:
+        on = F.col(key) == F.col("_again")
+        once, again = flat.join(F.broadcast(ids), on, "left_anti"), flat.join(F.broadcast(ids), on, "left_semi")
+    else:
+        once, again = flat.where(F.col(key).isNull()), flat.where(F.col(key).isNotNull())
+    order = F.struct(F.col(text).isNull(), F.col(text))
+    return once.union(again.groupBy(key).agg(F.min_by(F.struct(*flat.columns), order).alias("_row")).select("_row.*"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` without the documents whose group keeps another one; of rows that repeat a doc_id one stays."""
     gone = dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    key = f"_c{names.index('doc_id')}"
-    left = flat.join(gone, flat[key] == gone["_gone"], "left_anti")
+    key, text = (f"_c{names.index(n)}" for n in ("doc_id", "text"))
+    left = _row_per_id(flat, key, text).join(gone, F.col(key) == F.col("_gone"), "left_anti")
     return left.toDF(*names)
 
 

@@ -272,6 +272,18 @@ def test_near_duplicates_odd(odd, none):
     assert left.columns == odd.columns and {7} == {r["doc_id"] for r in left.collect() if r["doc_id"] in (7, 8, 21)}
 
 
+@pytest.mark.parametrize("broadcast", [near_dedup.BROADCAST_IDS, 0])
+def test_one_row_of_a_repeated_id(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
+    a, b, c = (prose(80) for _ in range(3))
+    rows = [(1, a), (2, b), (2, b), (2, b), (3, b), (3, b), (4, None), (4, None), (5, c), (5, c + " end"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], DOCS)
+    out = near_dedup.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted([(0, "x"), (0, "x"), (1, a), (2, b), (4, ""), (5, c)])
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(200 + r.randrange(40), 200 + r.randrange(40)) for _ in range(50)] + [(500, x) for x in range(501, 560)]
