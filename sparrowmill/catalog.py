@@ -343,6 +343,10 @@ pool AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY md5(CA
 rnd AS (SELECT user_id, item_id, 0.0::DOUBLE AS score, rank FROM (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY md5(u.user_id || ':' || p.item_id || ':42'), p.item_id) AS rank FROM (SELECT DISTINCT user_id FROM tr) u CROSS JOIN pool p
   WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.user_id = u.user_id AND x.item_id = p.item_id)) WHERE rank <= {N})"""
 
+#: As RND, from the whole catalogue.
+RND_WHOLE = f""", rnd AS (SELECT user_id, item_id, 0.0::DOUBLE AS score, rank FROM (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY md5(u.user_id || ':' || p.item_id || ':42'), p.item_id) AS rank FROM (SELECT DISTINCT user_id FROM tr) u CROSS JOIN (SELECT DISTINCT item_id FROM tr) p
+  WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.user_id = u.user_id AND x.item_id = p.item_id)) WHERE rank <= {N})"""
+
 
 def _train_test(spark, d):
     s = splits(spark, d, "ts", "item_id")
@@ -357,8 +361,13 @@ def rnd(spark, d):
     return reco.random_items(_train_test(spark, d)[0], "user_id", "item_id", N)
 
 
+def rnd_whole(spark, d):
+    return reco.random_unseen(_train_test(spark, d)[0], "user_id", "item_id", N)
+
+
 _add("popularity_recommend", TRAIN + POP + " SELECT * FROM pop")(pop)
 _add("random_recommend", TRAIN + RND + " SELECT * FROM rnd")(rnd)
+_add("random_recommend_whole", TRAIN + RND_WHOLE + " SELECT * FROM rnd")(rnd_whole)
 
 
 def _metrics(recs: str, name: str, ks=(5, 10)) -> str:
@@ -385,6 +394,7 @@ def _user_metrics(spark, d):
 _add("per_user_metrics", TRAIN + POP + _metrics("pop", "p") + f" SELECT user_id, {_ROUNDED} FROM um_p")(lambda spark, d: (m := _user_metrics(spark, d)).select("user_id", *[F.round(c, 9).alias(c) for c in NAMES]))
 _add("evaluate", TRAIN + POP + _metrics("pop", "p") + f" SELECT count(*) AS n_users, {_MEANS} FROM um_p")(lambda spark, d: reco.evaluate(pop(spark, d), _train_test(spark, d)[1], "user_id", "item_id", (5, 10)))
 COMPARE = TRAIN + POP + RND + _metrics("pop", "p") + _metrics("rnd", "r") + f", cmp AS (SELECT 'popularity' AS model, count(*) AS n_users, {_MEANS} FROM um_p UNION ALL SELECT 'random', count(*), {_MEANS} FROM um_r)"
+COMPARE_WHOLE = TRAIN + POP + RND_WHOLE + _metrics("pop", "p") + _metrics("rnd", "r") + f", cmp AS (SELECT 'popularity' AS model, count(*) AS n_users, {_MEANS} FROM um_p UNION ALL SELECT 'random', count(*), {_MEANS} FROM um_r)"
 
 
 @_add("compare_models", COMPARE + " SELECT * FROM cmp")
@@ -392,10 +402,27 @@ def compare(spark, d):
     return reco.compare({"popularity": pop(spark, d), "random": rnd(spark, d)}, _train_test(spark, d)[1], "user_id", "item_id", (5, 10))
 
 
-@_add("metric_lift", COMPARE + " SELECT round((max(CASE WHEN model = 'popularity' THEN recall_10 END) - max(CASE WHEN model = 'random' THEN recall_10 END)) / (max(CASE WHEN model = 'random' THEN recall_10 END) + 1e-9) * 100, 4) AS recall_10_lift_pct FROM cmp")
+LIFT = " SELECT round((max(CASE WHEN model = 'popularity' THEN recall_10 END) - max(CASE WHEN model = 'random' THEN recall_10 END)) / (max(CASE WHEN model = 'random' THEN recall_10 END) + 1e-9) * 100, 4) AS recall_10_lift_pct FROM cmp"
+
+
+@_add("metric_lift", COMPARE + LIFT)
 def lift(spark, d):
+    return _lift(compare(spark, d))
+
+
+@_add("compare_models_whole", COMPARE_WHOLE + " SELECT * FROM cmp")
+def compare_whole(spark, d):
+    return reco.compare({"popularity": pop(spark, d), "random": rnd_whole(spark, d)}, _train_test(spark, d)[1], "user_id", "item_id", (5, 10))
+
+
+@_add("metric_lift_whole", COMPARE_WHOLE + LIFT)
+def lift_whole(spark, d):
+    return _lift(compare_whole(spark, d))
+
+
+def _lift(models):
     of = lambda m: F.max(F.when(F.col("model") == m, F.col("recall_10")))
-    return compare(spark, d).agg(F.round((of("popularity") - of("random")) / (of("random") + 1e-9) * 100, 4).alias("recall_10_lift_pct"))
+    return models.agg(F.round((of("popularity") - of("random")) / (of("random") + 1e-9) * 100, 4).alias("recall_10_lift_pct"))
 
 
 _add("per_user_ndcg", TRAIN + POP + _metrics("pop", "p") + " SELECT round(avg(ndcg_10), 9) AS mean, round(median(ndcg_10), 9) AS med, round(stddev_pop(ndcg_10), 9) AS std, round(avg(CASE WHEN ndcg_10 > 0 THEN 1.0::DOUBLE ELSE 0 END) * 100, 9) AS positive_pct FROM um_p")(

@@ -97,6 +97,22 @@ def random_items(train: DataFrame, user: str, item: str, n: int, seed: int = 42)
     return rest.withColumn("rank", rank).where(F.col("rank") <= n).select(user, item, F.lit(0.0).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def random_unseen(train: DataFrame, user: str, item: str, n: int, seed: int = 42, block: int = 4096) -> DataFrame:
+    """user, item, score 0.0, rank: n unseen items per user from the whole catalogue, in the order of md5(user:item:seed).
+
+    Users meet items in blocks, and a block yields n rows at most, so pairs are neither kept nor shuffled.
+    """
+    items = train.select(item).where(F.col(item).isNotNull()).distinct()
+    blocks = items.withColumn("_b", F.pmod(F.xxhash64(item), F.lit(items.count() // block + 1)))
+    cells = blocks.groupBy("_b").agg(F.collect_list(item).alias("_items")).select("_items")
+    seen = train.groupBy(user).agg(F.collect_set(item).alias("_seen"))
+    key = lambda x: F.md5(F.concat_ws(":", F.col(user).cast("string"), x.cast("string"), F.lit(str(seed))))
+    keyed = F.transform(F.array_except("_items", "_seen"), lambda x: F.struct(key(x).alias("_k"), x.alias(item)))
+    some = seen.crossJoin(cells).select(user, F.inline(F.slice(F.array_sort(keyed), 1, n)))
+    rank = F.row_number().over(Window.partitionBy(user).orderBy("_k", item))
+    return some.withColumn("rank", rank).where(F.col("rank") <= n).select(user, item, F.lit(0.0).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def user_metrics(recs: DataFrame, test: DataFrame, user: str, item: str, ks: tuple[int, ...]) -> DataFrame:
     """One row for each user with test items: precision, recall, ndcg, map and hit rate at each k, and the reciprocal rank.
 

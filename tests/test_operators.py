@@ -63,6 +63,22 @@ def test_metrics(spark):
     assert m[3]["mrr"] == 0.0 and m[3]["ndcg_3"] == 0.0
 
 
+def test_random_items_come_from_the_whole_catalogue(spark):
+    n_items = 5000
+    rows = [(u, i) for i in range(n_items) for u in [1000 + i % 50]] + [(u, i) for u in range(400) for i in (u, u + 1)]
+    train = spark.createDataFrame(rows, "user_id long, item_id long")
+    got = {}
+    for r in reco.random_unseen(train, "user_id", "item_id", 10, block=700).collect():
+        got.setdefault(r["user_id"], []).append((r["rank"], r["item_id"]))
+    seen = set(rows)
+    assert len(got) == 450 and all([k for k, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
+    assert not any((u, i) in seen for u, v in got.items() for _, i in v)
+    drawn = {i for v in got.values() for _, i in v}
+    assert len(drawn) > 2500  # 4,500 draws from 5,000 items; one pool for all users would hold 110
+    few = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3)], "user_id long, item_id long")
+    assert sorted((r["user_id"], r["item_id"]) for r in reco.random_unseen(few, "user_id", "item_id", 10).collect()) == [(1, 3), (2, 2)]
+
+
 def test_split_is_disjoint(spark, data):
     r = catalog.queries()["leak_check"](spark, data).first()
     assert (r["train_val"], r["train_test"], r["val_test"]) == (0, 0, 0)
