@@ -437,7 +437,7 @@ def _als(spark, d, engine):
     from .operators import als
 
     train = _train_test(spark, d)[0].select(F.col("user_id").alias("user"), F.col("item_id").alias("item"))
-    return als, train, als.fit(train, factors=16, iterations=5 if engine == "mllib" else 2, engine=engine)
+    return als, train, als.fit(train, engine=engine)  # the reference's 64 factors and 20 iterations
 
 
 @_add("als_recommend")

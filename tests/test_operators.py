@@ -1,6 +1,7 @@
 """Small hand-made cases, invariants and plans."""
 
 import importlib
+import inspect
 import math
 import subprocess
 import sys
@@ -122,6 +123,25 @@ def test_als_learns_the_blocks(spark, blocks):
     assert len(recs) == 90 and sum(r["item"] // 10 == r["user"] % 2 for r in recs) > 80
 
 
+@pytest.mark.parametrize("name", ["als_recommend", "als_evaluate", "als_exact_history"])
+def test_als_queries_run_the_whole_job(spark, data, monkeypatch, name):
+    class Fitted(Exception):
+        pass
+
+    def fit(*args, **kwargs):
+        raise Fitted(inspect.signature(whole).bind(*args, **kwargs))
+
+    whole = als.fit
+    monkeypatch.setattr(als, "fit", fit)
+    with pytest.raises(Fitted) as e:
+        catalog.queries()[name](spark, data)
+    bound = e.value.args[0]
+    bound.apply_defaults()
+    a = bound.arguments
+    assert (a["factors"], a["iterations"], a["reg"], a["alpha"], a["seed"]) == (64, 20, 0.01, 40.0, 42)
+    assert a["engine"] == ("exact" if name == "als_exact_history" else "mllib")
+
+
 def test_pca(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((200, 1)) @ np.array([[3.0, 1.0, 0.0]]) + 0.01 * rng.standard_normal((200, 3)) + 5
