@@ -37,10 +37,12 @@ BASE = {
 MORE = {
     "national": (r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$"),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9-])[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{32,64}|[A-Za-z0-9_-]{40,64})(?![A-Za-z0-9+/_-])",
+    # long runs; from 16 characters on, however long, what has a known prefix or stands after a word of the context
+    "secret": r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{32,64}|[A-Za-z0-9_-]{40,64}|AKIA[A-Za-z0-9+/_-]{12,}+|(?=(?:sk|pk|ghp)[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+              r"|(?<=(?i:token|secret|key|password|passwd|api)\s{0,4}[=:]\s{0,4}[\"'`]?)[A-Za-z0-9+/_-]{16,}+)(?![A-Za-z0-9+/_-])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?",
 }
-MORE = {k: v if isinstance(v, tuple) else (v, {"ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "secret": r"^[0-9a-f]{32,64}$", "name": r"^\p{L}+\. "}[k]) for k, v in MORE.items()}
+MORE = {k: v if isinstance(v, tuple) else (v, {"ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "secret": r"^(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36})$", "name": r"^\p{L}+\. "}[k]) for k, v in MORE.items()}
 #: Words of the gazetteer, of the context, and against, by kind.
 KNOWN = {
     "national": r"^\(?(?:2[0-9]{2}|3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2}|7[0-9]{2}|8[0-9]{2}|9[0-9]{2})",
@@ -107,7 +109,7 @@ def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     hints = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
     df = df.withColumn("_all", F.concat(*[_found(k, p, hints[k], t) for k, p in BASE.items()]))
     df = df.withColumn("_base", F.filter("_all", _valid))
-    hints = {"national": r"[0-9]{3}[\x20.-][0-9]{4}", "ssn": r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}", "secret": r"[A-Za-z0-9_-]{32}", "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? \p{Lu}"}
+    hints = {"national": r"[0-9]{3}[\x20.-][0-9]{4}", "ssn": r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}", "secret": r"[A-Za-z0-9_-]{32}|(?:AKIA|sk|pk|ghp)[A-Za-z0-9+/_-]{12}|(?i:token|secret|key|password|passwd|api)\s{0,4}[=:]", "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? \p{Lu}"}
     df = df.withColumn("_cand", F.concat(*[_found(k, p, hints[k], t) for k, (p, _) in MORE.items()]))
     # none overlaps a base span, nor a candidate of an earlier kind
     order = F.create_map(*[x for k, name in enumerate(MORE) for x in (F.lit(name), F.lit(k))])

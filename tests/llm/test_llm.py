@@ -201,6 +201,20 @@ def test_pii_method_and_redaction(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_and_long_secrets(spark):
+    r = random.Random(6)
+    code = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "7Q" + "".join(r.choice(of) for _ in range(n - 2))
+    akia, mixed = "AKIA" + code(16), code(24, "abcdefgXYZ0123456789")
+    hits = [akia, "sk_live_" + code(20), mixed, code(90), code(70) + "+/" + code(60), "ghp_" + code(36)]
+    t = [f'key = "{x}" end' for x in hits] + ["skateboarding-and-skydiving", "a monkey keyed sixteencharacters", "key = short1", f"see {akia} there"]
+    df = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in enumerate(t * 4)], DOCS)
+    rows = {r["doc_id"]: [(c["kind"], c["start"], c["stop"]) for c in r["_more"]] for r in pii.marked(df).collect()}
+    assert [rows[k] for k in range(len(hits))] == [[("secret", 7, 7 + len(x))] for x in hits]
+    assert rows[6] == rows[7] == rows[8] == [] and rows[9] == [("secret", 4, 24)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert all(clean[k] == 'key = "<secret>" end' for k in range(len(hits))) and clean[8] == t[8]
+
+
 def test_expectation_maximisation():
     post, rates = pii.expected([("ssn", 0b01111, 90), ("ssn", 0b10001, 40), ("ssn", 0b00000, 60)])
     assert post[0] > 0.9 and post[1] < 0.2 and post[2] < 0.2 and rates["yes"]["context"] > rates["no"]["context"]
