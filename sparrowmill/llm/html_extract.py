@@ -220,12 +220,13 @@ def extract(page: str, w: Weights | None = None) -> str:
     a, b = best_region([w.of(x) for x in found])
     if (a, b) == (0, 0):
         return "\n".join(x.text for x in found if not x.edge)
-    if any(x.article for x in found[a:b]):
+    text = [x for x in found[a:b] if not x.edge]
+    if 2 * sum(x.words for x in text if x.article) > sum(x.words for x in text):
         # the region may stop at a short block: an article is taken whole
         inside = [k for k, x in enumerate(found) if x.article]
         a, b = min(a, inside[0]), max(b, inside[-1] + 1)
         return "\n".join(x.text for x in found[a:b] if x.article and not x.edge)
-    return "\n".join(x.text for x in found[a:b] if not x.edge)
+    return "\n".join(x.text for x in text)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -409,6 +409,13 @@ def test_pages(spark, none):
     assert html_extract.extract("<div>" * 20000 + "x" + "</p>" * 20000) == "x"
 
 
+def test_prose_beside_a_teaser_card():
+    prose_ = [f"<div><p>The long story of part {k} began on a very cold winter morning, and it went on for many more days.</p></div>" for k in range(4)]
+    page = "<body>" + "".join(prose_[:2]) + "<article><p>Read our other story about the warm summer days.</p></article>" + "".join(prose_[2:]) + "</body>"
+    got = html_extract.extract(page)
+    assert all(f"The long story of part {k} began" in got for k in range(4))
+
+
 def test_best_region():
     r = random.Random(8)
     for _ in range(200):
