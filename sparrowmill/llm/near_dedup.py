@@ -1,9 +1,8 @@
-"""Near-duplicate groups: an LSH forest over MinHash signatures, links confirmed on full sets.
+"""Near-duplicate groups: 21 LSH bands over MinHash signatures, links confirmed on full sets.
 
-A signature has 63 minima.  Forest order t sorts the signatures from minimum 3t on; documents
-whose first three minima in an order agree stand in one region of it, which is a run of
-neighbours with a common prefix of three or more.  A pair of similarity 0.75 shares a region
-in one of the 21 orders with probability 1 - (1 - 0.75^3)^21, that is all but 1e-5.
+A signature has 63 minima.  Band t is the minima from 3t to 3t + 2; documents that agree
+in all three are one region of it.  A pair of similarity 0.75 shares a region
+in one of the 21 bands with probability 1 - (1 - 0.75^3)^21, that is all but 1e-5.
 
 * Equal sets are one class from the start, so groups of copies cost one row each.
 * In a region, the strongest chain of neighbours (a maximum spanning forest on agreeing minima,
@@ -13,8 +12,8 @@ in one of the 21 orders with probability 1 - (1 - 0.75^3)^21, that is all but 1e
   places and whose sketches (the 256 smallest hashes of each set, so all of a short text) don't
   rule a link out.  So copies aren't expanded into all pairs, and no candidate between unconnected
   documents is dropped.
-* The depth adapts to the region: where that second step would be long, the region is split by
-  three further minima, chosen in 21 ways as at the root, so that a pair keeps its chance to meet.
+* Where that second step would be long, the region is split by all 21 bands again, so that a pair
+  keeps its chance to meet; the child of the region's own band is the region itself.
 
 Defined results: null, empty and blank texts have n_shingles 0 and link with nothing, as do rows
 without a doc_id (component null, kept); rows that share a doc_id are one document; the
