@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,15 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or else a new one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the session has set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            base = jdir.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="sparrowmill-")
-            spark.sparkContext.setCheckpointDir(base)
+        if not jdir.isDefined():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = jdir.get()
     return base
 
 
@@ -47,7 +44,48 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what `stash` wrote for these frames; nothing that is still to run may read them."""
+    for path in {getattr(df, "_stash", None) for df in frames if df is not None} - {None}:
+        delete(next(df for df in frames if df is not None).sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is (left_anti: isn't) among `ids`, distinct and written already."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
+
+
+#: A key is hot if it holds over a thousandth of all rows, so at most a thousand keys are.
+HOT = 1_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """`rows` with the columns of `table`, which has one row for each key; `weight` counts the key's rows.
+
+    Hot keys are joined where their rows are, by a broadcast of at most `HOT` rows of `table`, so no task gets all rows of one.
+    """
+    total, most = table.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(HOT, (total or 0) // HOT)
+    if (most or 0) <= limit:
+        return rows.join(table, key)
+    hot = table.where(F.col(weight) > limit)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each keeps components as they are and never
     makes more edges than there were, and paths shrink geometrically.  Every step is written to
-    the shared folder.  No edges, no rows.
+    the shared folder, and deleted when the next one is.  No edges, no rows; a graph that
+    hasn't settled after `rounds` steps is an error, not an unfinished result.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs, seen = stash(pairs), None
@@ -25,10 +26,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = stash(small.select("e.u", "e.v").where("u <> v").distinct())
+        before, pairs = pairs, stash(small.select("e.u", "e.v").where("u <> v").distinct())
+        discard(before)
         state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-        if state == seen:
-            break
+        if state == seen or not state[0]:
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+                pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         seen = state
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    raise RuntimeError(f"components haven't settled after {rounds} rounds")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparrowmill.llm import bpe, graphs, html_extract, license_scan, near_dedup, packing, pii, quality_knn, quality_rules, registry, shingles, tiff, toxicity
+from sparrowmill.llm import bpe, common, graphs, html_extract, license_scan, near_dedup, packing, pii, quality_knn, quality_rules, registry, shingles, tiff, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -264,14 +264,16 @@ def near_rows(n=260, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("tight", [False, True])
-def test_near_duplicates(spark, monkeypatch, tight):
-    if tight:  # wide regions and deeper ones on a small table
-        monkeypatch.setattr(near_dedup, "WIDE", 4)
-        monkeypatch.setattr(near_dedup, "STEPS", 40)
+@pytest.mark.parametrize("way", ["default", "cells", "deep", "exact", "rounds"])
+def test_near_duplicates(spark, monkeypatch, way):
+    if way in ("cells", "deep"):  # small cells and deeper regions on a small table
+        monkeypatch.setattr(near_dedup, "CELL", 3)
+    if way in ("rounds", "deep", "cells"):  # all links come from the search of torn regions
+        monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    limits = near_dedup.EXACT if way == "exact" else near_dedup.Limits(deep=6) if way == "deep" else near_dedup.Limits()
     rows = near_rows()
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(4)
-    got = near_dedup.dedup(df)
+    got = near_dedup.dedup(df, limits)
     same(got, groups(rows), "doc_id", "n_shingles", "component_id")
     assert got.where("kept <> (doc_id = component_id)").count() == 0
 
@@ -286,9 +288,33 @@ def test_near_duplicates_odd(odd, none):
     assert left.columns == odd.columns and {7} == {r["doc_id"] for r in left.collect() if r["doc_id"] in (7, 8, 21)}
 
 
-@pytest.mark.parametrize("broadcast", [near_dedup.BROADCAST_IDS, 0])
+def test_forest_order(spark):
+    """All neighbours in the sorted trees that share a region, also across the ranges that tasks sort."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2, (90, near_dedup.MINIMA)).astype(np.uint16)
+    classes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sig)], "cid long, sig binary")
+    members, pairs, _ = near_dedup.forest(classes.repartition(3))
+    want, depth, inside = set(), Counter(), set()
+    signed = lambda x: int(np.int64(x))
+    for t in range(near_dedup.TREES):
+        order = sorted((tuple(x[3 * t : 3 * t + 3].tolist()), signed(near_dedup._packed(x[[(3 * t + 3 + k) % 63 for k in range(4)]])), i) for i, x in enumerate(sig))
+        for x, y in zip(order, order[1:]):
+            if x[0] == y[0]:
+                a, b = sorted((x[2], y[2]))
+                want.add((a, b))
+                turned = lambda i: np.roll(sig[i], -3 * t)[:7].tolist()  # noqa: B023, E731
+                depth[a, b] += next((k for k in range(7) if turned(a)[k] != turned(b)[k]), 7)
+                inside |= {(t, a), (t, b)}
+    got = {(r["a"], r["b"]): r["depth"] for r in pairs.collect()}
+    # ends of one range may be paired, too: they share its only region
+    assert want <= set(got) and len(got) <= len(want) + 8
+    assert sum(got[p] == depth[p] for p in want) >= len(want) - 30
+    assert {(r["region"] >> 48, r["cid"]) for r in members.collect()} == inside
+
+
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_IDS, 0])
 def test_one_row_of_a_repeated_id(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_IDS", broadcast)
     a, b, c = (prose(80) for _ in range(3))
     rows = [(1, a), (2, b), (2, b), (2, b), (3, b), (3, b), (4, None), (4, None), (5, c), (5, c + " end"), (None, "x"), (None, "x")]
     docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], DOCS)
@@ -519,7 +545,7 @@ def test_sketches():
         base = np.unique(r.integers(0, 1 << 64, size, np.uint64))
         sets = [base] + [np.unique(np.concatenate([base[r.random(len(base)) > cut], r.integers(0, 1 << 64, int(cut * size), np.uint64)])) for cut in (0.0, 0.05, 0.1, 0.14, 0.3, 0.6) for _ in range(8)]
         sets = [s for s in sets if len(s)]
-        low = near_dedup._sketches(near_dedup._binary([(s[: near_dedup.SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]))
+        low = near_dedup._sketches(near_dedup._binary([s[: near_dedup.SKETCH].tobytes() for s in sets]))
         n, them = np.array([len(s) for s in sets]), np.arange(len(sets))
         for i, s in enumerate(sets):
             got = set(near_dedup._maybe(low, n, i, them).tolist())
