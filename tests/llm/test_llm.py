@@ -366,7 +366,26 @@ def test_bpe(odd, none):
     r, c = random.Random(3), bpe.codec(bpe.vocabulary_path())
     for _ in range(300):
         t = "".join(r.choice("abtheing é'ßñ1Σ中<|>\n\t́İ.,S") for _ in range(80))
-        assert c.encode(t) == lib.encode(t, add_special_tokens=False).ids
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert c.encode(t) == want
+        assert next(c.digests([t]))[:2] == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+
+
+def test_trees_of_many_words():
+    """Rows of one array merge as single words do, of all lengths and whatever is remembered."""
+    c, r = bpe.codec(bpe.vocabulary_path()), random.Random(9)
+    words = {"".join(r.choice("etaoinshrdlu" if k % 2 else "abcdefghijklmnopqrstuvwxyz0_é"[:27]) for _ in range(n)) for n in (1, 2, 3, 5, 8, 9, 16, 31, 32, 33, 64, 65, 200) for k in range(60)}
+    ids, at = c.all_words(sorted(words))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [c.word(w) for w in sorted(words)]
+    assert len(c.all_words([])[0]) == 0
+    texts = [" ".join(r.sample(sorted(words), 30)) for _ in range(20)]
+    want = list(c.digests(texts))
+    fresh = bpe.Codec(bpe.vocabulary_path())
+    kept, bpe.REMEMBER, group, bpe.GROUP = bpe.REMEMBER, 50, bpe.GROUP, 1 << 13
+    try:
+        assert list(fresh.digests(texts)) == want and len(fresh.written_of) <= max(50, 30 * 20)
+    finally:
+        bpe.REMEMBER, bpe.GROUP = kept, group
 
 
 def check_packing(rows, docs, window=1024):
