@@ -12,6 +12,10 @@ The base kinds (email, ip, card, phone) are fixed by rule and always reported; t
 the classifier accepts them and no base span overlaps.
 
 Patterns are written so that matching is linear: possessive, and entered only where a run begins.
+Places of matches are sums over blocks of `BLOCK` matches, and overlaps are looked for by blocks, so a
+long text with very many matches doesn't cost their square.  Candidates and their votes are
+found once and written to the shared folder; patterns are counted and spans accepted from there.
+
 Offsets count code points, the end is exclusive.  Defined results: null and empty texts
 have no spans; repeated rows get equal results; an empty table gives an empty result; extra columns
 are left out.
@@ -24,55 +28,97 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, stash, table
 
 #: Patterns of the base kinds, equal in what they match to the rule's.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # runs of digits with single separators are matched whole or not at all, so only those of 16 to 19 digits need a look
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Given and family names that are frequent in the four languages of the texts, and forms of address.
+GIVEN = "Alice Ana Andrea Andreas Anna Antoine Antonio Barbara Bernd Brigitte Camille Carlos Carmen Catherine Charles Christine Claire Claudia Daniel David Elena Elizabeth Emily Emma Eva Fernando Francisco François Frank George Hans Heinz Isabel Jack James Javier Jean Jennifer Jessica John Jorge José Joseph Juan Julia Julie Jürgen Karen Karin Karl Kevin Klaus Laura Linda Lisa Louis Lucas Luis Manuel Marco María Maria Marie Mark Martin Mary Matthew Michael Michel Miguel Monika Nathalie Nicolas Olivia Pablo Patricia Paul Pedro Peter Petra Philippe Pierre Ramón Richard Robert Rosa Sabine Sandra Sarah Sofia Stefan Stephen Susan Thomas Ursula Victoria William Wolfgang".split()
+FAMILY = "Anderson Bauer Becker Bernard Bonnet Brown Clark Davis Díaz Dubois Durand Fernández Fischer García Garcia Gómez González Hernández Hoffmann Johnson Jones Klein Koch Lambert Laurent Lefebvre Leroy Lewis López Lopez Martin Martínez Meyer Miller Moore Moreau Moreno Müller Muñoz Pérez Petit Ramírez Richter Robert Rodríguez Roux Sánchez Schäfer Schmidt Schneider Schröder Schulz Simon Smith Taylor Thomas Torres Wagner Weber White Williams Wilson Wolf".split()
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor|Sra|Sr"
+#: How keys of well-known services begin.
+KEYS = r"AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|sk_|pk_live_|pk_|npm_|hf_"
+_NAMED = r"(?i:token|secret|key|password|passwd|api)\s{0,4}[=:]"
 #: Candidates of the method's own kinds, and the strict form that the first labeler votes by.
 MORE = {
     "national": (r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$"),
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9-])[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9-])",
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9-])[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9-])", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
     # long runs; from 16 characters on, however long, what has a known prefix or stands after a word of the context
-    "secret": r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{32,64}|[A-Za-z0-9_-]{40,64}|AKIA[A-Za-z0-9+/_-]{12,}+|(?=(?:sk|pk|ghp)[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
-              r"|(?<=(?i:token|secret|key|password|passwd|api)\s{0,4}[=:]\s{0,4}[\"'`]?)[A-Za-z0-9+/_-]{16,}+)(?![A-Za-z0-9+/_-])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?",
+    "secret": (r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{32,64}|[A-Za-z0-9_-]{40,64}|(?:AKIA|ASIA)[A-Za-z0-9+/_-]{12,}+|(?=(?:" + KEYS + r")[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+               r"|(?<=" + _NAMED + r"\s{0,4}[\"'`]?)[A-Za-z0-9+/_-]{16,}+)(?![A-Za-z0-9+/_-])", r"^(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36})$"),
+    "name": (r"(?=\p{Lu})(?<!\p{L})(?:(?:" + TITLES + r")\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?|(?:" + "|".join(GIVEN) + r") \p{Lu}\p{Ll}{1,20})(?!\p{L})", r"^\p{L}+\. "),
 }
-MORE = {k: v if isinstance(v, tuple) else (v, {"ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "secret": r"^(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36})$", "name": r"^\p{L}+\. "}[k]) for k, v in MORE.items()}
-#: Words of the gazetteer, of the context, and against, by kind.
+#: By kind: what a gazetteer knows (prefixes of issued numbers and keys, names), and what stands before.
 KNOWN = {
-    "national": r"^\(?(?:2[0-9]{2}|3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2}|7[0-9]{2}|8[0-9]{2}|9[0-9]{2})",
-    "ssn": r"^[0-8]",
-    "secret": r"^(?:sk|pk|ghp|AKIA|[0-9a-f]{40}$|[0-9a-f]{32}$|[0-9a-f]{64}$)",
-    "name": r"(?i)(?:anna|maria|john|james|mary|robert|peter|paul|thomas|michael|david|laura|julia|sofia|carlos|jose|luis|marie|pierre|jean|hans|karl|smith|jones|miller|müller|schmidt|weber|martin|garcia|lopez)",
+    "national": r"^\(?[2-9][0-8][0-9]",
+    "ssn": r"^(?:00[1-9]|0[1-9]|[1-57]|6[0-57-9]|66[0-57-9])",
+    "secret": r"^(?:" + KEYS + r"|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$)",
+    "name": r"(?:^| )(?:" + "|".join([*GIVEN, *FAMILY]) + r")(?: |$)",
 }
 CONTEXT = {
-    "national": r"(?i)(?:call|phone|tel|telephone|mobile|cell|fax|contact|telefon|appel|llame)\W*$",
-    "ssn": r"(?i)(?:ssn|social security|security number)\W*$",
-    "secret": r"(?i)(?:token|secret|key|password|passwd|api)\s*[=:]\s*\W?$",
-    "name": r"(?i)(?:contact|dear|by|from|with|ask for|liebe|lieber|cher|chère|estimado)\W*$",
+    "national": r"(?i)(?:call|phone|tel|telephone|mobile|cell|fax|contact|number|telefon|mobil|anrufen|appel(?:ez)?|téléphone|portable|llame|teléfono|móvil)\W*$",
+    "ssn": r"(?i)(?:ssn|social|social security|security number|sozialversicherung\p{L}*|sécurité sociale|seguridad social)\W*$",
+    "secret": _NAMED + r"\s*\W?$",
+    "name": r"(?i)(?:contact|dear|by|from|with|ask for|name|signed|regards|liebe|lieber|von|herrn|cher|chère|par|estimad[oa]|por|de)\W*$",
 }
 AGAINST = r"(?i)(?:version|isbn|issn|order|invoice|part|model|commit|sha1|sha256|md5|checksum|\$|€)\W*$"
 LABELERS = ["strict", "value", "known", "context", "against"]
-ACCEPT, BEFORE = 0.5, 24
+#: Pseudo-votes behind the rates that EM starts from.
+ACCEPT, BEFORE, BLOCK, PRIOR_VOTES = 0.5, 24, 128, 8.0
 KINDS = [*BASE, *MORE]
-_SPAN = "array<struct<kind:string,start:int,stop:int,hit:string>>"
+_SPAN = "array<struct<kind:string,start:int,stop:int,hit:string,before:string>>"
+
+
+def _blocks(rows: Column) -> Column:
+    """An array that isn't empty as one of blocks."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, BLOCK))
+
+
+def _steps(pattern: str, hint: str, text: Column) -> Column:
+    """Each match with its length, that of the text between it and the one before, and what that ends with; none in texts without what every match has."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(hits, F.split(text, pattern, -1), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"), F.length(h).alias("n"), F.substring(g, -BEFORE, BEFORE).alias("b")))
+    return F.when(text.rlike(hint), F.filter(steps, lambda x: x["h"].isNotNull()))
+
+
+def _spans(kind: str, steps: Column) -> Column:
+    """Matches with their places: lengths are added up in blocks and then over blocks.  `steps` is a column that exists."""
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(
+            (acc["at"] + x["g"] + x["n"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("stop"), x["h"].alias("hit"), x["b"].alias("before")))).alias("out")))
 
+    def shifted(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + acc["at"]).alias("start"), (x["stop"] + acc["at"]).alias("stop"), x["hit"].alias("hit"), x["before"].alias("before")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
-def _spans(kind: str, pattern: str, text: Column) -> Column:
-    """All matches with their places: what lies between the matches is measured and added up."""
-    quoted = F.lit(pattern)
-    hits = F.regexp_extract_all(text, quoted, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"), F.length(h).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(steps, start, lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["n"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("stop"), x["h"].alias("hit")))).alias("out")))["out"]
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.when(F.size(steps) > 0, F.flatten(F.aggregate(F.transform(_blocks(steps), within), whole, shifted)["out"])).otherwise(F.array().cast(_SPAN))
+
+
+def _made(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns that go through a generator, so the optimizer doesn't write them out where they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _bounded(spans: Column) -> Column:
+    """Spans in blocks, each with its first start and last end."""
+    return F.when(F.size(spans) > 0, F.transform(_blocks(spans), lambda b: F.struct(
+        F.array_min(b["start"]).alias("lo"), F.array_max(b["stop"]).alias("hi"), b.alias("spans"))))
+
+
+def _meets(blocks: Column, c: Column, also=lambda b: F.lit(True)) -> Column:
+    """Does a span of the blocks overlap `c`?"""
+    return F.coalesce(F.exists(blocks, lambda x: (x["lo"] < c["stop"]) & (c["start"] < x["hi"]) & F.exists(
+        x["spans"], lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]) & also(b))), F.lit(False))
 
 
 def _digits(hit: Column) -> Column:
@@ -97,33 +143,31 @@ def _valid(x: Column) -> Column:
             .when(x["kind"] == "card", card).otherwise(n.between(8, 15)))
 
 
-def _found(kind: str, pattern: str, hint: str, text: Column) -> Column:
-    """The matches in texts that have what every match has."""
-    return F.when(text.rlike(hint), _spans(kind, pattern, text)).otherwise(F.array().cast(_SPAN))
+#: What a text must have to be searched for a kind.
+HINTS = {
+    "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){15}[0-9]", "phone": r"\+[0-9]",
+    "national": r"[0-9]{3}[\x20.-][0-9]{4}", "ssn": r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}", "secret": r"[A-Za-z0-9_-]{32}|(?:" + KEYS + r")[A-Za-z0-9+/_-]{12}|" + _NAMED, "name": r"\p{Ll}\.? \p{Lu}\p{Ll}",
+}
 
 
 def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with _base (valid base spans by kind, then start) and _more (candidates with votes that overlap none of them)."""
+    names = docs.columns
+    patterns_ = BASE | {k: p for k, (p, _) in MORE.items()}
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    t = F.col("_t")
-    hints = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-    df = df.withColumn("_all", F.concat(*[_found(k, p, hints[k], t) for k, p in BASE.items()]))
-    df = df.withColumn("_base", F.filter("_all", _valid))
-    hints = {"national": r"[0-9]{3}[\x20.-][0-9]{4}", "ssn": r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}", "secret": r"[A-Za-z0-9_-]{32}|(?:AKIA|sk|pk|ghp)[A-Za-z0-9+/_-]{12}|(?i:token|secret|key|password|passwd|api)\s{0,4}[=:]", "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? \p{Lu}"}
-    df = df.withColumn("_cand", F.concat(*[_found(k, p, hints[k], t) for k, (p, _) in MORE.items()]))
+    df = _made(df, **{f"_s_{k}": _steps(p, HINTS[k], F.col("_t")) for k, p in patterns_.items()})
+    spans = {k: _spans(k, F.col(f"_s_{k}")) for k in patterns_}
+    df = _made(df, _base=F.filter(F.concat(*[spans[k] for k in BASE]), _valid), _cand=F.concat(*[spans[k] for k in MORE]))
+    df = _made(df, _in_base=F.when(F.size("_cand") > 0, _bounded(F.col("_base"))), _in_cand=_bounded(F.col("_cand")))
     # none overlaps a base span, nor a candidate of an earlier kind
     order = F.create_map(*[x for k, name in enumerate(MORE) for x in (F.lit(name), F.lit(k))])
-    df = df.withColumn("_free", F.filter("_cand", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-                                         & ~F.exists("_cand", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]) & (order[b["kind"]] < order[c["kind"]]))))
-    df = df.withColumn("_more", F.transform("_free", _votes))
-    return df.drop("_all", "_cand", "_free")
+    free = F.filter("_cand", lambda c: ~_meets(F.col("_in_base"), c) & ~_meets(F.col("_in_cand"), c, lambda b: order[b["kind"]] < order[c["kind"]]))
+    return _made(df, _free=free).withColumn("_more", F.transform("_free", _votes)).select(*names, "_t", "_base", "_more")
 
 
 def _votes(c: Column) -> Column:
-    """A candidate with one bit for each labeler that votes."""
-    kind, hit = c["kind"], c["hit"]
-    start = F.greatest(c["start"] - BEFORE, F.lit(0))
-    before = F.substring(F.col("_t"), start + 1, c["start"] - start)
+    """A candidate with one bit for each labeler that votes; context is at most `BEFORE` characters after the last match of its kind."""
+    kind, hit, before = c["kind"], c["hit"], c["before"]
 
     def by_kind(patterns: dict[str, str], on: Column) -> Column:
         out = F.lit(False)
@@ -142,10 +186,10 @@ def _votes(c: Column) -> Column:
     return F.struct(kind.alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), bits.alias("votes"))
 
 
-def patterns(docs: DataFrame) -> list[tuple[str, int, int]]:
-    """(kind, votes, count) over all documents: at most len(MORE) * 2 ** len(LABELERS) rows."""
-    rows = marked(pick(docs, "text")).select(F.explode("_more").alias("c"))
-    return sorted((r["kind"], r["votes"], r["n"]) for r in rows.groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect())
+def patterns(rows: DataFrame) -> list[tuple[str, int, int]]:
+    """(kind, votes, count) over all rows of `marked`: at most len(MORE) * 2 ** len(LABELERS) rows."""
+    each = rows.select(F.explode("_more").alias("c"))
+    return sorted((r["kind"], r["votes"], r["n"]) for r in each.groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect())
 
 
 def expected(rows: list[tuple[str, int, int]], rounds: int = 50) -> tuple[list[float], dict]:
@@ -153,11 +197,11 @@ def expected(rows: list[tuple[str, int, int]], rounds: int = 50) -> tuple[list[f
 
     Returns the probability that each row's spans are personal data, and the rates.  The start says
     what labelers are made for: votes for (the first four) and against (the last one); a
-    prior of one pseudo-count keeps rates off 0 and 1.
+    `PRIOR_VOTES` pseudo-votes at these rates keep them off 0 and 1.
     """
     m = len(LABELERS)
-    yes = [0.8, 0.8, 0.6, 0.7, 0.05]
-    no = [0.3, 0.3, 0.2, 0.05, 0.5]
+    start = [0.8, 0.8, 0.6, 0.7, 0.05], [0.3, 0.3, 0.2, 0.05, 0.5]
+    yes, no = map(list, start)
     prior: dict[str, float] = {k: 0.5 for k, _, _ in rows}
     post = [0.5] * len(rows)
     for _ in range(rounds):
@@ -173,10 +217,8 @@ def expected(rows: list[tuple[str, int, int]], rounds: int = 50) -> tuple[list[f
             hit = sum(p * n for p, (_, v, n) in zip(post, rows) if v >> k & 1)
             miss = sum((1 - p) * n for p, (_, v, n) in zip(post, rows) if v >> k & 1)
             n1 = sum(p * n for p, (_, _, n) in zip(post, rows))
-            strength = max(4.0, 0.02 * total)
-            start = ([0.8, 0.8, 0.6, 0.7, 0.05][k], [0.3, 0.3, 0.2, 0.05, 0.5][k])
-            yes[k] = (hit + strength * start[0]) / (n1 + strength)
-            no[k] = (miss + strength * start[1]) / (total - n1 + strength)
+            yes[k] = (hit + PRIOR_VOTES * start[0][k]) / (n1 + PRIOR_VOTES)
+            no[k] = (miss + PRIOR_VOTES * start[1][k]) / (total - n1 + PRIOR_VOTES)
         for kind in prior:
             n = sum(c for k, _, c in rows if k == kind)
             prior[kind] = min(0.95, max(0.05, (sum(p * c for p, (k, _, c) in zip(post, rows) if k == kind) + 1) / (n + 2)))
@@ -227,8 +269,8 @@ def _is(kind: str):
 
 def found(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans."""
-    w = train(patterns(docs)) if weights is None else weights
-    df = _with_spans(marked(pick(docs, "doc_id", "text")), w)
+    df = stash(marked(pick(docs, "doc_id", "text")).select("doc_id", "_base", "_more"))
+    df = _with_spans(df, train(patterns(df)) if weights is None else weights)
     counts = [F.size(F.filter("_base", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return df.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
 
@@ -238,20 +280,30 @@ def redact(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
     Overlapping spans (a card inside a phone number) are replaced from the first start to the last end, under the kind of the first.
     """
-    w = train(patterns(docs)) if weights is None else weights
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     text = f"_c{names.index('text')}"
-    df = _with_spans(marked(flat, text), w)
-    df = df.withColumn("_line", F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("neg"), s["kind"].alias("kind")))))
-    # after sorting by start, a span that begins before all earlier ones have ended joins them
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    piece = F.aggregate("_line", start, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-        (-s["neg"]).alias("at"),
-        F.concat(acc["out"], F.substring(F.col("_t"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out")))
-        .otherwise(F.struct(F.greatest(acc["at"], -s["neg"]).alias("at"), acc["out"].alias("out"))))
-    df = df.withColumn("_r", F.when(F.size("_line") > 0, piece))
-    new = F.when(F.col("_r").isNotNull(), F.concat(F.col("_r.out"), F.substring(F.col("_t"), F.col("_r.at") + 1, F.length("_t")))).otherwise(F.col(text))
+    df = stash(marked(flat, text).drop("_t")).withColumn("_t", F.coalesce(text, F.lit("")))
+    df = _with_spans(df, train(patterns(df)) if weights is None else weights)
+    df = _made(df, _line=F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("neg"), s["kind"].alias("kind")))))
+    # after sorting by start, a span that begins before all earlier ones have ended joins them; each block of spans cuts its part out of the text once
+    text_ = F.col("_t")
+
+    def within(part: Column, acc: Column, block: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+        return F.aggregate(block, start, lambda a, s: F.when(s["start"] >= a["at"], F.struct(
+            (-s["neg"]).alias("at"),
+            F.concat(a["out"], F.substring(part, a["at"] - acc["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out")))
+            .otherwise(F.struct(F.greatest(a["at"], -s["neg"]).alias("at"), a["out"].alias("out"))))
+
+    def joined(acc: Column, block: Column) -> Column:
+        part = F.substring(text_, acc["at"] + 1, F.greatest(-F.array_min(block["neg"]), acc["at"]) - acc["at"])
+        once = F.transform(F.array(part), lambda p: within(p, acc, block))
+        return F.transform(once, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    df = _made(df, _r=F.when(F.size("_line") > 0, F.aggregate(_blocks(F.col("_line")), none, joined)))
+    new = F.when(F.col("_r").isNotNull(), F.concat(F.array_join("_r.out", ""), F.substring(text_, F.col("_r.at") + 1, F.length("_t")))).otherwise(F.col(text))
     out = df.withColumn("_new", new)
     cols = []
     for i, n in enumerate(names):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -215,6 +216,66 @@ def test_short_and_long_secrets(spark):
     assert all(clean[k] == 'key = "<secret>" end' for k in range(len(hits))) and clean[8] == t[8]
 
 
+def plain_candidates(t):
+    """Candidates of the method's own kinds with their votes, by the same patterns in plain code."""
+    import regex
+
+    base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(t)]
+    found = []
+    for kind, (p, strict) in pii.MORE.items():
+        end = 0
+        for m in regex.finditer(p.replace(")++", ")++"), t) if regex.search(pii.HINTS[kind], t) else ():
+            before, end = t[max(end, m.start() - pii.BEFORE) : m.start()], m.end()
+            found.append((kind, m.start(), m.end(), m[0], before, strict))
+    out = []
+    for k, (kind, a, b, hit, before, strict) in enumerate(found):
+        if any(x < b and a < y for x, y in base) or any(f[0] != kind and f[1] < b and a < f[2] for f in found[:k]):
+            continue
+        digits = regex.sub("[^0-9]", "", hit)
+        value = {"national": not regex.search(r"^[01]|^...[01]|^(.)\1+$", digits), "ssn": not regex.search(r"^(?:000|666|9)|^...00|0000$", digits),
+                 "secret": bool(regex.search("[0-9]", hit) and regex.search("[A-Za-z]", hit)), "name": bool(regex.search(r" \p{Lu}\p{Ll}+ \p{Lu}", hit))}[kind]
+        votes = [regex.search(strict, hit), value, regex.search(pii.KNOWN[kind], hit), regex.search(pii.CONTEXT[kind], before), regex.search(pii.AGAINST, before)]
+        out.append((kind, a, b, sum(1 << i for i, v in enumerate(votes) if v)))
+    return out
+
+
+def test_pii_candidates_and_accepted_spans(spark, labelled):
+    docs = labelled[0].limit(250)
+    extra = [(10**6 + k, t, "en", "s", 0) for k, t in enumerate(["Dear Anna Weber, call: (212) 555-1234 or 312 555 9876 (order 123-45-6789, SSN: 123-45-6789).", "from Dr. Jones and Peter Schmidt, password=Zx81kk02mmQQ7711 " + "ab12" * 8, "4111 1111 1111 1111 212 555 1234 +1 212 555 0100"] * 20)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = {i: plain_candidates(t) for i, t in rows.items()}
+    got = {r["doc_id"]: [(c["kind"], c["start"], c["stop"], c["votes"]) for c in r["_more"]] for r in pii.marked(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 100
+    counts = Counter((k, v) for c in want.values() for k, _, _, v in c)
+    w = pii.train(sorted((k, v, n) for (k, v), n in counts.items()))
+    takes = lambda k, v: w["bias"] + w[k] + sum(w[x] for i, x in enumerate(pii.LABELERS) if v >> i & 1) >= 0
+    spans = {i: [*base_spans(rows[i]), *(f"{k}:{a}:{b}" for k, a, b, v in c if takes(k, v))] for i, c in want.items()}
+    assert {r["doc_id"]: r["spans"] for r in pii.found(docs).collect()} == {i: ",".join(x) for i, x in spans.items()}
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, t in rows.items():
+        at, out = 0, ""
+        for a, neg, kind in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans[i])):
+            if a >= at:
+                out, at = out + t[at:a] + f"<{kind}>", -neg
+            else:
+                at = max(at, -neg)
+        assert (redacted[i] or "") == out + t[at:]
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Time grows with the text, not with the square of its matches."""
+    parts = ["4111 1111 1111 1111. ", "(212) 555-1234, ", "a1@b.com 10.0.0.1 +1 212 555 0100 x; "]
+    t = [p * 9_000 for p in parts] + [", ".join(map(str, range(60_000)))]
+    began = time.time()
+    rows = pii.found(spark.createDataFrame([(k, x, "en", "s", 0) for k, x in enumerate(t)], DOCS).repartition(4)).orderBy("doc_id").collect()
+    assert rows[0]["n_card"] == 9_000 and rows[2]["n_email"] == rows[2]["n_ip"] == rows[2]["n_phone"] == 9_000 and rows[1]["spans"].count("national") == 9_000
+    assert rows[0]["spans"].split(",")[-1] == f"card:{8_999 * 21}:{8_999 * 21 + 19}"
+    clean = pii.redact(spark.createDataFrame([(0, t[1], "en", "s", 0)], DOCS)).collect()[0]["text"]
+    assert clean == "<national>, " * 9_000
+    assert time.time() - began < 150
+
+
 def test_expectation_maximisation():
     post, rates = pii.expected([("ssn", 0b01111, 90), ("ssn", 0b10001, 40), ("ssn", 0b00000, 60)])
     assert post[0] > 0.9 and post[1] < 0.2 and post[2] < 0.2 and rates["yes"]["context"] > rates["no"]["context"]
