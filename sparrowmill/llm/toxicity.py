@@ -2,9 +2,9 @@
 
 P(grade <= k | x) = sigmoid(theta_k - w.x): one weight vector for all thresholds, which stay in
 order because their gaps are exponentials.  The labels say toxic or not, so grades come from
-them and from the text: 0 for a document that isn't labelled toxic; 1, 2 or 3 for a toxic one by
-the number of its words that labelled toxic documents use far more often than others
-(1 to 3, 4 to 8, more).  Toxic documents with none of these words carry no evidence and are left out.
+them and from evidence of other documents: 0 for a document that isn't labelled toxic; for a toxic one 1, 2 or 3
+by the number of its words (under 4, 4 to 8, more) that the toxic documents of the other half of the sample
+use far more often than others.  So no document's grade follows from words chosen on it, and every sampled row is kept.
 
 The model is fitted on the driver from at most `SAMPLE` labelled rows, half of them toxic at most,
 chosen by the hash of their doc_id, with features from at most `FEATURES` words; both are documented bounds of a fit, and
@@ -31,7 +31,7 @@ from .common import map_batches, pick, table, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, RATIO = 4_000, 512, 4, 6.0, 20
-GRADES = (1, 4, 9)
+GRADES = (4, 9)
 REJECT = 0.5
 
 
@@ -80,6 +80,35 @@ def evidence(bags: list[Counter], toxic: np.ndarray) -> dict[str, float]:
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:FEATURES])
 
 
+def crossed_grades(bags: list[Counter], toxic: np.ndarray) -> np.ndarray:
+    """Grades 0 to 3: a toxic document's hits are counted with the evidence of the half of the rows it isn't in."""
+    half = np.arange(len(bags)) % 2
+    hits = np.zeros(len(bags), np.int64)
+    for k in (0, 1):
+        rows = np.flatnonzero(half != k)
+        found = evidence([bags[r] for r in rows], toxic[rows]) if len(set(toxic[rows].tolist())) == 2 else {}
+        for r in np.flatnonzero(half == k).tolist():
+            hits[r] = sum(n for w, n in bags[r].items() if w in found)
+    return np.where(toxic == 1, 1 + np.searchsorted(GRADES, hits, side="right"), 0)
+
+
+def likelihood(params: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Weighted mean log-likelihood of the grades, less the penalty, and its gradient.  `params`: weights, first threshold, logarithms of the gaps."""
+    n, k = x.shape[1], len(params) - x.shape[1]
+    w, gaps = params[:n], np.exp(params[n + 1 :])
+    theta = params[n] + np.concatenate([[0], np.cumsum(gaps)])
+    cut = np.concatenate([[-np.inf], theta, [np.inf]])
+    s = x @ w
+    hi, lo = _sigmoid(cut[grade + 1] - s), _sigmoid(cut[grade] - s)
+    hi[grade == k], lo[grade == 0] = 1.0, 0.0
+    p = np.maximum(hi - lo, 1e-12)
+    dh, dl = weight * hi * (1 - hi) / p, weight * lo * (1 - lo) / p
+    g = np.array([dh[grade == j].sum() - dl[grade == j + 1].sum() for j in range(k)])
+    grad = np.concatenate([-(x.T @ (dh - dl)), [g.sum()], [g[j:].sum() * gaps[j - 1] for j in range(1, k)]]) / len(s)
+    grad[:n] -= l2 * w
+    return float((weight * np.log(p)).mean() - 0.5 * l2 * (w @ w)), grad
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.3, l2: float = 1e-3) -> Model:
     """Gradient ascent (Adam) on the likelihood of the grades."""
     y = np.array(toxic)
@@ -95,30 +124,18 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.3
     for r, bag in enumerate(bags):
         for w in bag.keys() & at.keys():
             raw[r, at[w]] = bag[w]
-    hits = raw.sum(axis=1)
-    grade = np.where(y == 1, np.searchsorted(GRADES, hits, side="right"), 0)
-    use = (y == 0) | (hits > 0)
-    x, grade = np.log1p(raw[use]), grade[use]
+    x, grade = np.log1p(raw), crossed_grades(bags, y)
     # toxic documents are few: both kinds weigh the same in the likelihood
-    share = np.bincount(grade > 0, minlength=2) / len(grade)
-    weight = 0.5 / np.maximum(share, 1e-9)[(grade > 0).astype(int)]
-    k = len(GRADES)
-    params = np.concatenate([np.full(len(words), 1.0), [1.0], np.zeros(k - 1)])  # weights, first threshold, log gaps
+    share = np.bincount(y, minlength=2) / len(y)
+    weight = 0.5 / share[y]
+    k = len(GRADES) + 1
+    params = np.concatenate([np.full(len(words), 1.0), [1.0], np.zeros(k - 1)])
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
-        w, first, gaps = params[: len(words)], params[len(words)], np.exp(params[len(words) + 1 :])
-        theta = first + np.concatenate([[0], np.cumsum(gaps)])
-        cut = np.concatenate([[-np.inf], theta, [np.inf]])
-        s = x @ w
-        hi, lo = _sigmoid(cut[grade + 1] - s), _sigmoid(cut[grade] - s)
-        hi[grade == k], lo[grade == 0] = 1.0, 0.0
-        p = np.maximum(hi - lo, 1e-12)
-        dh, dl = weight * hi * (1 - hi) / p, weight * lo * (1 - lo) / p
-        g_theta = np.array([dh[grade == j].sum() - dl[grade == j + 1].sum() for j in range(k)])
-        grad = np.concatenate([-(x.T @ (dh - dl)), [g_theta.sum()], [g_theta[j:].sum() * gaps[j - 1] for j in range(1, k)]]) / len(s)
-        grad[: len(words)] -= l2 * w
+        _, grad = likelihood(params, x, grade, weight, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        params[len(words) + 1 :] = np.clip(params[len(words) + 1 :], -6, 3)  # a grade that no row has would end at a gap of nothing
     theta = params[len(words)] + np.concatenate([[0], np.cumsum(np.exp(params[len(words) + 1 :]))])
     return Model(dict(zip(words, params[: len(words)].tolist())), tuple(theta.tolist()))
 
@@ -137,13 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _columns(texts: list[str], model: Model) -> dict:
-    severity, p_toxic, grade = [], [], []
-    for t in texts:
-        p = model.grades(t)
-        severity.append(float(p @ np.arange(len(p))))
-        p_toxic.append(float(1 - p[0]))
-        grade.append(int(p.argmax()))
-    return {"severity": pa.array(severity, pa.float64()), "p_toxic": pa.array(p_toxic, pa.float64()), "grade": pa.array(grade, pa.int32()), "toxic": pa.array([x >= REJECT for x in p_toxic], pa.bool_())}
+    score = np.array([model.score(t) for t in texts], np.float64)
+    p = np.diff(np.column_stack([np.zeros(len(texts)), _sigmoid(np.array(model.thresholds)[None, :] - score[:, None]), np.ones(len(texts))]), axis=1)
+    p_toxic = 1 - p[:, 0]
+    return {"severity": pa.array(p @ np.arange(p.shape[1]), pa.float64()), "p_toxic": pa.array(p_toxic, pa.float64()), "grade": pa.array(p.argmax(axis=1).astype(np.int32), pa.int32()), "toxic": pa.array(p_toxic >= REJECT, pa.bool_())}
 
 
 def graded(docs: DataFrame, model: Model) -> DataFrame:
