@@ -10,9 +10,12 @@ count per label in inverse proportion to the label's frequency, so that the rare
 The labelled rows for the fit are at most `SAMPLE`, chosen by the hash of doc_id among rows whose
 crc32(doc_id as text) mod 5 isn't 0; every document is scored.  Labels, lang, source and doc_id are no inputs.
 
-Defined results: null and empty texts have the zero vector and score PRIOR; without labels of both
-kinds everything scores PRIOR; repeated rows get equal results; an empty table gives an
-empty result; extra columns are left out.
+Vectors are rounded to multiples of 2^-14, so their products and the votes are sums of whole numbers,
+which come out the same in any order and block.  Ties: all rows as similar as the `NEAREST`-th vote.
+
+Defined results: null, empty and blank texts score 0; texts without a known term, and all texts
+if there are no labels of both kinds, score PRIOR; of rows of `labels` that repeat a doc_id the lower label
+counts; repeated rows get equal results; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, pick, table, texts_of
 
 SAMPLE, TERMS, DIMENSIONS, NEAREST, BLOCK = 4_000, 2_048, 48, 25, 256
-THRESHOLD, PRIOR = 0.3, 0.5
+THRESHOLD, PRIOR, SCALE = 0.3, 0.5, 1 << 14
 _RUNS = re.compile(r"a+|A+|0+|([^\sa-zA-Z0])\1+")
 
 
@@ -74,37 +77,38 @@ class Model(NamedTuple):
     vocabulary: dict[str, int]
     idf: np.ndarray
     axes: np.ndarray  # terms x dimensions
-    vectors: np.ndarray  # labelled rows x dimensions, of length one
-    weights: np.ndarray  # labelled rows x 2: 1 / frequency in the column of its label
+    vectors: np.ndarray  # labelled rows x dimensions, of length SCALE, in whole numbers
+    labels: np.ndarray  # 0 or 1 for each labelled row
+    weights: np.ndarray  # of a vote for 0 and for 1: 1 / frequency of the label
 
     def vector(self, text: str) -> np.ndarray:
         known = self.vocabulary
         found = [(known[t], n) for t, n in terms(text).items() if t in known]
         if not found:
-            return np.zeros(self.axes.shape[1], np.float32)
+            return np.zeros(self.axes.shape[1])
         at, n = np.array(found).T
         w = np.log1p(n) * self.idf[at]
-        v = (w / np.linalg.norm(w)) @ self.axes[at]
-        size = np.linalg.norm(v)
-        return (v / size if size > 1e-9 else v).astype(np.float32)
+        return whole((w / np.linalg.norm(w)) @ self.axes[at])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), PRIOR)
-        if not len(self.vectors):
-            return out
-        for a in range(0, len(texts), BLOCK):
-            rows = np.array([self.vector(t) for t in texts[a : a + BLOCK]])
-            near = rows @ self.vectors.T
+        for a in range(0, len(texts), BLOCK) if len(self.vectors) else ():
+            near = np.maximum(np.array([self.vector(t) for t in texts[a : a + BLOCK]]) @ self.vectors.T, 0)
             k = min(NEAREST, near.shape[1])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(near, top, axis=1), 0)[:, None, :] @ self.weights[top]
-            votes = votes[:, 0, :]
+            near[near < np.partition(near, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]] = 0
+            votes = np.column_stack([near[:, self.labels == c].sum(axis=1) for c in (0, 1)]) * self.weights
             total = votes.sum(axis=1)
             out[a : a + BLOCK] = np.where(total > 0, votes[:, 1] / np.where(total > 0, total, 1), PRIOR)
-        return out
+        return np.where([bool(t) and not t.isspace() for t in texts], out, 0.0)
+
+
+def whole(v: np.ndarray) -> np.ndarray:
+    """Vectors of length SCALE, rounded."""
+    size = np.linalg.norm(v, axis=-1, keepdims=True)
+    return np.rint(v / np.maximum(size, 1e-9) * SCALE)
 
 
-EMPTY = Model({}, np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1), np.float32), np.zeros((0, 2)))
+EMPTY = Model({}, np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(2))
 
 
 def fit(texts: list[str], quality: list[int]) -> Model:
@@ -129,12 +133,8 @@ def fit(texts: list[str], quality: list[int]) -> Model:
     q = np.random.default_rng(5).standard_normal((len(chosen), d)).astype(np.float32)
     for _ in range(6):
         q, _ = np.linalg.qr(x.T @ (x @ q))
-    v = x @ q
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     share = np.bincount(y, minlength=2) / len(y)
-    weights = np.zeros((len(y), 2))
-    weights[np.arange(len(y)), y] = 1 / share[y]
-    return Model(at, idf, q.astype(np.float64), v.astype(np.float32), weights)
+    return Model(at, idf, q.astype(np.float64), whole(x.astype(np.float64) @ q), y, 1 / share)
 
 
 def held_out(doc_id) -> bool:
