@@ -1,13 +1,13 @@
 """TIFF as a media column: writing 8-bit pages, and reading directories, strips and tiles.
 
 The reader walks the chain of image directories in either byte order, decodes PackBits, LZW and
-deflate (and plain) strips or tiles, undoes horizontal prediction for 8, 16 and 32-bit samples,
-and yields one row per page.
+deflate (and plain) strips or tiles of 1, 2, 4, 8, 16 or 32 bits a sample, together or in separate
+planes, undoes horizontal prediction, and yields one row per page.
 
 `stored` keeps each text losslessly: its UTF-8 bytes, filled with zeros to a multiple of 64, are
 the samples of pages of width 64.  Defined results: null and empty texts store 64 zeros; equal texts
 give equal files; an empty table gives an empty result; extra columns are left out; a file that
-can't be read gives one page row with page -1 and the reason in `error`.
+can't be read, or names more samples than its bytes can hold, gives one page row with page -1 and the reason in `error`.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometr
 TYPES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i")}
 
 
+#: Sample types by bits, and the most bytes that a byte can be unpacked to.
+KINDS = {1: "u1", 2: "u1", 4: "u1", 8: "u1", 16: "u2", 32: "u4"}
+MOST = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+
+
 class Page(NamedTuple):
     page: int
     width: int
@@ -124,6 +129,7 @@ def unlzw(data: bytes) -> bytes:
     words: list[bytes] = []
     acc = held = i = 0
     width, prev = 9, None
+    words = [bytes([b]) for b in range(256)] + [b"", b""]
     while True:
         while held < width:
             if i >= len(data):
@@ -138,8 +144,12 @@ def unlzw(data: bytes) -> bytes:
             width, prev = 9, None
             continue
         if prev is None:
+            if code >= _CLEAR:
+                raise ValueError(f"code {code} after a clear code")
             prev = words[code]
         else:
+            if code > len(words):
+                raise ValueError(f"code {code} before the table has it")
             word = words[code] if code < len(words) else prev + prev[:1]
             words.append(prev + word[:1])
             prev = word
@@ -213,53 +223,78 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
             where = at + 10 + 12 * k
             if size * n > 4:
                 (where,) = struct.unpack_from(order + "I", data, where)
+            if where + size * n > len(data):
+                raise ValueError(f"field {tag} ends after the file")
             fields[tag] = struct.unpack_from(f"{order}{n}{letter}", data, where)
     return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
 def _summed(block: bytes, rows: int, width: int, samples: int, bits: int, order: str, predictor: int) -> np.ndarray:
-    """The samples of a strip or tile, rows x width x samples, prediction undone."""
-    kind = {8: "u1", 16: "u2", 32: "u4"}[bits]
-    need = rows * width * samples * bits // 8
-    if len(block) < need:
-        raise ValueError(f"{len(block)} of {need} bytes in a strip or tile")
-    a = np.frombuffer(block[:need], order + kind).reshape(rows, width, samples)
-    if predictor == 2:
-        a = np.cumsum(a, axis=1, dtype=a.dtype.newbyteorder("="))
-    elif predictor != 1:
-        raise ValueError(f"predictor {predictor}")
-    return a
+    """The samples of a strip or tile, rows x width x samples, prediction undone; those under 8 bits one to a byte."""
+    line = -(-width * samples * bits // 8)  # rows begin at whole bytes
+    if len(block) < rows * line:
+        raise ValueError(f"{len(block)} of {rows * line} bytes in a strip or tile")
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise ValueError(f"predictor {predictor} for {bits} bits")
+    if bits < 8:
+        each = np.unpackbits(np.frombuffer(block[: rows * line], np.uint8).reshape(rows, line), axis=1)[:, : width * samples * bits].reshape(rows, width, samples, bits)
+        return (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+    a = np.frombuffer(block[: rows * line], order + KINDS[bits]).reshape(rows, width, samples)
+    return np.cumsum(a, axis=1, dtype=a.dtype.newbyteorder("=")) if predictor == 2 else a
+
+
+def _image(data: bytes, fields: dict[int, tuple], order: str, page: int) -> Page:
+    """One directory's page; nothing is allocated before the file is known to be long enough for it."""
+    get = lambda name, default=None: fields.get(TAGS[name], default)
+    w, h = get("width")[0], get("height")[0]
+    bits, samples = get("bits", (1,)), get("samples", (1,))[0]
+    compression, predictor = get("compression", (1,))[0], get("predictor", (1,))[0]
+    if len(set(bits)) > 1:
+        raise ValueError(f"samples of {bits} bits")
+    bits = bits[0]
+    if bits not in KINDS:
+        raise ValueError(f"{bits} bits a sample")
+    planes = samples if get("planar", (1,))[0] == 2 else 1
+    inside = samples // planes
+    tiled = TAGS["tile_at"] in fields
+    bw, bh = (get("tile_width")[0], get("tile_height")[0]) if tiled else (w, min(h, get("strip_rows", (h,))[0]))
+    if min(w, h, bw, bh, samples) < 1:
+        raise ValueError(f"{w} x {h} x {samples} in parts of {bw} x {bh}")
+    places = list(zip(get("tile_at" if tiled else "strip_at"), get("tile_bytes" if tiled else "strip_bytes")))
+    across, down = -(-w // bw), -(-h // bh)
+    if len(places) < across * down * planes:
+        raise ValueError(f"{len(places)} of {across * down * planes} strips or tiles")
+    if any(start + size > len(data) for start, size in places):
+        raise ValueError("a strip or tile ends after the file")
+    part = bh * -(-bw * inside * bits // 8)
+    for _, size in places[: across * down * planes]:
+        if (part if tiled else 1) > MOST.get(compression, 1) * (size + 16):
+            raise ValueError(f"{size} bytes for a tile of {part}")
+    if h * w * samples * bits // 8 > MOST.get(compression, 1) * (sum(size for _, size in places) + 16):
+        raise ValueError(f"{len(data)} bytes for {w} x {h} x {samples}")
+    full = np.zeros((h, w, samples), order + KINDS[bits])
+    for k, (start, size) in enumerate(places[: across * down * planes]):
+        plane, k = divmod(k, across * down)
+        y, x = k // across * bh, k % across * bw
+        rows = bh if tiled else min(bh, h - y)
+        a = _summed(_unpacked(data[start : start + size], compression), rows, bw, inside, bits, order, predictor)
+        full[y : y + bh, x : x + bw, plane * inside : (plane + 1) * inside] = a[: h - y, : w - x]
+    return Page(page, w, h, bits, samples, compression, predictor, full.tobytes())
 
 
 def read(data: bytes) -> Iterator[Page]:
-    """The pages of a file, in order."""
+    """The pages of a file, in order; samples under 8 bits take a byte each, separate planes are joined."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF header")
     (at,) = struct.unpack_from(order + "I", data, 4)
+    if not at:
+        raise ValueError("no image directory")
     seen: set[int] = set()
     while at and at not in seen:
         seen.add(at)
         fields, nxt = _directory(data, at, order)
-        get = lambda name, default=None: fields.get(TAGS[name], default)
-        w, h = get("width")[0], get("height")[0]
-        bits, samples = get("bits", (1,))[0], get("samples", (1,))[0]
-        compression, predictor = get("compression", (1,))[0], get("predictor", (1,))[0]
-        if get("planar", (1,))[0] != 1 and samples > 1:
-            raise ValueError("separate planes")
-        if bits not in (8, 16, 32):
-            raise ValueError(f"{bits} bits a sample")
-        tiled = TAGS["tile_at"] in fields
-        bw, bh = (get("tile_width")[0], get("tile_height")[0]) if tiled else (w, min(h, get("strip_rows", (h,))[0]))
-        places = zip(get("tile_at" if tiled else "strip_at"), get("tile_bytes" if tiled else "strip_bytes"))
-        full = np.zeros((h, w, samples), order + {8: "u1", 16: "u2", 32: "u4"}[bits])
-        across = -(-w // bw)
-        for k, (start, size) in enumerate(places):
-            y, x = k // across * bh, k % across * bw
-            rows = bh if tiled else min(bh, h - y)
-            a = _summed(_unpacked(data[start : start + size], compression), rows, bw, samples, bits, order, predictor)
-            full[y : y + bh, x : x + bw] = a[: h - y, : w - x]
-        yield Page(len(seen) - 1, w, h, bits, samples, compression, predictor, full.tobytes())
+        yield _image(data, fields, order, len(seen) - 1)
         at = nxt
 
 
@@ -272,7 +307,7 @@ def pages(files: DataFrame, key: str, media: str = "media") -> DataFrame:
             try:
                 got = list(read(data or b""))
                 why = [None] * len(got)
-            except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
+            except (ValueError, LookupError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                 got, why = [Page(-1, 0, 0, 0, 0, 0, 0, b"")], [str(e) or type(e).__name__]
             at += [k] * len(got)
             rows += got

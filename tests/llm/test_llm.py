@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -592,6 +593,66 @@ def test_tiff(spark, odd, none):
     assert [(r["k"], r["page"], r["width"]) for r in got] == [(1, 0, 4), (1, 1, 4), (2, -1, 0), (3, -1, 0)]
 
 
+#: Files written down by hand: a strip of the bytes 7 8 9 coded by LZW; a row of nine bits by PackBits, big-endian; two planes.
+def tiff_file(order, fields, data):
+    head = {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 8)
+    body = struct.pack(order + "H", len(fields))
+    at = 8 + 2 + 12 * len(fields) + 4
+    more = b""
+    for tag, kind, values in fields:
+        size = {3: 2, 4: 4}[kind]
+        packed = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(packed) > 4:
+            body += struct.pack(order + "HHII", tag, kind, len(values), at + len(more))
+            more += packed
+        else:
+            body += struct.pack(order + "HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    return head + body + b"\0" * 4 + more + data
+
+
+def test_tiff_files_by_other_writers():
+    # clear, 7, 8, 9, end in nine bits each: 100000000 000000111 000001000 000001001 100000001
+    lzw = int("100000000" "000000111" "000001000" "000001001" "100000001" "000", 2).to_bytes(6, "big")
+    assert tiff.unlzw(lzw) == bytes([7, 8, 9])
+    # a code that the table gets in this very step (aaa as a, aa): clear, 97, 258, end
+    assert tiff.unlzw(int("100000000" "001100001" "100000010" "100000001" "0000", 2).to_bytes(5, "big")) == b"aaa"
+    # the example of the PackBits description
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    assert tiff.unpack_bits(packed) == bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+
+    def one(order, w, h, bits, codec, data, extra=()):
+        n = 9 + len(extra)
+        at = 8 + 2 + 12 * n + 4 + sum(len(v) * 2 for _, _, v in extra if len(v) > 2)
+        f = [(256, 4, [w]), (257, 4, [h]), (258, 3, bits), (259, 3, [codec]), (262, 3, [1]), (273, 4, [at]), (277, 3, [len(bits)]), (278, 4, [h]), (279, 4, [len(data)]), *extra]
+        return tiff_file(order, sorted(f), data)
+
+    assert [tuple(p)[1:] for p in tiff.read(one("<", 3, 1, [8], 5, lzw))] == [(3, 1, 8, 1, 5, 1, bytes([7, 8, 9]))]
+    bits = bytes([1, 0b10110000, 0b10000000])
+    assert next(tiff.read(one(">", 9, 1, [1], 32773, bits))).pixels == bytes([1, 0, 1, 1, 0, 0, 0, 0, 1])
+    assert next(tiff.read(one(">", 3, 1, [4], 1, bytes([0x1F, 0x20])))).pixels == bytes([1, 15, 2])
+    f = [(256, 4, [2]), (257, 4, [1]), (258, 3, [8, 8]), (259, 3, [1]), (262, 3, [1]), (277, 3, [2]), (278, 4, [1]), (284, 3, [2])]
+    at = 8 + 2 + 12 * 10 + 4 + 16
+    f += [(273, 4, [at, at + 2]), (279, 4, [2, 2])]
+    assert next(tiff.read(tiff_file("<", sorted(f), bytes([1, 2, 3, 4])))).pixels == bytes([1, 3, 2, 4])
+
+
+def test_tiff_survives_any_bytes(spark):
+    r = random.Random(12)
+    good = [tiff.write([np.arange(200, dtype=np.uint8).reshape(10, 20)] * 2, codec, 2, tile) for codec in (tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for tile in (0, 16)]
+    rows = []
+    for k in range(600):
+        f = bytearray(r.choice(good))
+        for _ in range(r.randrange(1, 6)):
+            f[r.randrange(len(f))] = r.choice([0, 255, r.randrange(256)])
+        rows.append((k, bytes(f[: r.randrange(len(f))] if k % 3 == 0 else f)))
+    huge = bytearray(good[0])
+    at = huge.index(struct.pack("<HHII", 256, 4, 1, 20))
+    huge[at + 8 : at + 12] = huge[at + 20 : at + 24] = struct.pack("<I", 200_000)
+    rows += [(1000, bytes(huge)), (1001, bytes(good[1]).replace(struct.pack("<HHII", 322, 4, 1, 16), struct.pack("<HHII", 322, 4, 1, 0)))]
+    got = tiff.pages(spark.createDataFrame(rows, "k long, media binary"), "k").collect()
+    assert {x["k"] for x in got} == {k for k, _ in rows} and all(x["error"] for x in got if x["k"] >= 1000)
+
+
 # --- learned scores
 
 
@@ -609,7 +670,54 @@ def test_quality_held_out(labelled, odd, none):
     assert all(0 <= r["score"] <= 1 for r in quality_knn.scored(odd, model).collect())
     assert {r["doc_id"]: r["held_out"] for r in got} == {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in got}
     assert quality_knn.scored(none, model).count() == 0
-    assert {r["score"] for r in quality_knn.scored(odd, quality_knn.train(docs, labels.limit(0))).collect()} == {quality_knn.PRIOR}
+    blank = {i for i, t in ODD if not (t or "").strip()}
+    assert all(r["score"] == 0 and r["predicted"] == 0 for r in quality_knn.scored(odd, model).collect() if r["doc_id"] in blank)
+    assert {r["score"] for r in quality_knn.scored(odd, quality_knn.train(docs, labels.limit(0))).collect() if r["doc_id"] not in blank} == {quality_knn.PRIOR}
+    # repeated and clashing labels: the lower one counts, whatever else the table holds
+    twice = labels.union(labels.withColumn("quality", F.lit(1))).withColumn("text", F.lit("x")).withColumn("score", F.lit(1))
+    lower = labels.union(labels.withColumn("quality", F.lit(1))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    a, b = (quality_knn.train(docs, x) for x in (twice, lower))
+    assert (a.vectors == b.vectors).all() and (a.labels == b.labels).all()
+
+
+def test_quality_votes_by_brute_force(labelled):
+    docs, labels = labelled
+    model = quality_knn.train(docs, labels)
+    texts_ = [r["text"] or "" for r in docs.limit(120).collect()] + ["", "z", "a b c"]
+    got = model.scores(texts_)
+    for t, s in zip(texts_, got):
+        v = model.vector(t)
+        near = sorted(((max(0, int(sum(int(x) * int(y) for x, y in zip(v, o)))), int(c)) for o, c in zip(model.vectors, model.labels)), reverse=True)
+        least = near[min(quality_knn.NEAREST, len(near)) - 1][0]
+        votes = [sum(n for n, c in near if c == k and n >= least) * model.weights[k] for k in (0, 1)]
+        want = 0.0 if not t.strip() else votes[1] / sum(votes) if sum(votes) else quality_knn.PRIOR
+        assert abs(s - want) < 1e-12
+    # in whatever block a text stands
+    assert (model.scores(texts_[::-1])[::-1] == got).all() and all(model.scores([t])[0] == s for t, s in zip(texts_[:10], got))
+
+
+def test_toxicity_gradient():
+    r = np.random.default_rng(2)
+    x, grade = r.random((40, 5)), r.integers(0, 4, 40)
+    weight, params = r.random(40) + 0.5, r.normal(size=8) * 0.5
+    _, grad = toxicity.likelihood(params, x, grade, weight, 0.01)
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-6
+        up, down = (toxicity.likelihood(params + s, x, grade, weight, 0.01)[0] for s in (step, -step))
+        assert abs((up - down) / 2e-6 - grad[k]) < 1e-6
+    # the likelihood is the sum over what the model says of each grade
+    theta = params[5] + np.concatenate([[0], np.cumsum(np.exp(params[6:]))])
+    p = [toxicity.probabilities(float(a @ params[:5]), tuple(theta))[g] for a, g in zip(x, grade)]
+    assert abs((weight * np.log(p)).mean() - 0.005 * params[:5] @ params[:5] - toxicity.likelihood(params, x, grade, weight, 0.01)[0]) < 1e-9
+
+
+def test_toxic_grades_come_from_the_other_half():
+    bags = [Counter({"vile": 5, f"only{k}": 9}) if k % 4 < 2 else Counter({"calm": 3}) for k in range(80)]
+    toxic = np.array([int(k % 4 < 2) for k in range(80)])
+    grades = toxicity.crossed_grades(bags, toxic)
+    assert set(grades[toxic == 1].tolist()) == {2} and not grades[toxic == 0].any()  # five hits: words of one document alone don't count
+    bags[0] = Counter({"calm": 1})
+    assert toxicity.crossed_grades(bags, toxic)[0] == 1
 
 
 def test_toxicity(labelled, odd, none):
