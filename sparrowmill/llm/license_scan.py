@@ -14,6 +14,9 @@ other labels reach `SHARE`; so a notice of one licence isn't also read as its ne
 The three base phrases are templates of their own: one ends at a word if it is a suffix of the
 current run, which each state knows.
 
+The score is the largest share that a reported span covers of its template, or the share of the text's
+words that stand in base phrases, whichever is more.
+
 Defined results: null and empty texts have no words, no labels and score 0; a text that holds
 the same template twice reports one label and, in `spans`, both places; repeated rows get equal
 results; an empty table gives an empty result; extra columns are left out.
@@ -37,7 +40,7 @@ LEAST, SHARE, GAP = 4, 0.6, 12
 #: Phrase -> label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Opening or notice texts of public licences, label -> text.
+#: Texts, openings and notices of public licences, label -> text (-short and -text: another template of the same label).
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0",
@@ -55,6 +58,25 @@ TEMPLATES = {
     "cc-by-sa-short": "Licensed under CC BY SA 4.0",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "cc-by-nd": "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License",
+    "cc-by-nd-short": "Licensed under CC BY ND 4.0",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License",
+    "cc-by-nc-sa-short": "Licensed under CC BY NC SA 4.0",
+    "cc-by-nc-nd": "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License",
+    "cc-by-nc-nd-short": "Licensed under CC BY NC ND 4.0",
+    "cc-by-short": "Licensed under CC BY 4.0",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-short": "Licensed under the GNU Affero General Public License",
+    "lgpl-short": "Licensed under the GNU Lesser General Public License",
+    "gfdl": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. Do what the fuck you want to public license terms and conditions for copying, distribution and modification. You just do what the fuck you want to.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
 
@@ -144,7 +166,7 @@ class Scanner:
                     self.closing[t].append((len(p), name))
 
     def label(self, name: str) -> str:
-        return name.removesuffix("-short")
+        return name.removesuffix("-short").removesuffix("-text")
 
     def statistics(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(place, state, length of the run that ends there), where that length isn't 0."""
@@ -185,7 +207,9 @@ class Scanner:
         spans = [(self.label(self.names[t]), a, b, round(share, 6)) for t, a, b, share in self._spans(matches, leading)]
         base = sorted({self.base[p] for _, p in found})
         labels = sorted({*base, *(x[0] for x in spans)})
-        score = max([1.0] * bool(found) + [x[3] for x in spans], default=0.0)
+        # a base phrase covers its own words only
+        named = len({w for a, p in found for w in range(a, a + len(p.split()))})
+        score = max(named / max(1, len(words)), *(x[3] for x in spans), 0.0)
         starts = [a for a, _ in found]
         return {"n_words": len(words), "n_base": len(found), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                 "base_labels": ",".join(base), "labels": ",".join(labels), "score": score, "spans": ",".join(f"{n}:{a}:{b}" for n, a, b, _ in sorted(spans, key=lambda x: (x[1], x[2], x[0])))}

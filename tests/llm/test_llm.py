@@ -146,6 +146,31 @@ def test_licence_inside_a_longer_run():
     assert sorted(got) == sorted(want) and want
 
 
+def test_licence_scores_are_coverage():
+    s = license_scan.scanner()
+    assert s.scan("see cc by the way")["score"] == 2 / 5 and s.scan("cc by cc by")["score"] == 1
+    assert s.scan(license_scan.TEMPLATES["mit-text"] + prose(50))["score"] == 1
+    assert s.scan("Licensed under CC BY-ND 4.0")["labels"] == "cc-by,cc-by-nd"
+    both = license_scan.TEMPLATES["bsd-text"].split("THIS SOFTWARE")
+    assert s.scan(both[0] + license_scan.TEMPLATES["bsd-3"] + " THIS SOFTWARE" + both[1])["labels"] == "bsd,bsd-3"
+
+
+def test_licence_chains_by_brute_force():
+    """The best chain is as long as the best of all chains of matches in order."""
+    r = random.Random(8)
+    s = license_scan.Scanner({"t": " ".join(f"w{i}" for i in range(40))}, {})
+    for _ in range(150):
+        rows = sorted({(r.randrange(60), r.randrange(36), r.randrange(4, 12)) for _ in range(r.randrange(1, 8))})
+
+        def longest(last, rest):
+            return max([0] + [n + longest((a, b, n), rest[k + 1 :]) for k, (a, b, n) in enumerate(rest)
+                              if last is None or (last[0] + last[2] <= a <= last[0] + last[2] + license_scan.GAP and last[1] + last[2] <= b)])
+
+        best = longest(None, rows)
+        got = [sum(x[2] for x in chain) for *_, chain in s._chains(0, rows)]
+        assert (max(got) == best) if best >= license_scan.SHARE * 40 else not got
+
+
 def test_licence_chains():
     s = license_scan.Scanner({"t": " ".join(f"w{i}" for i in range(40))}, {})
     # a short match elsewhere in the template doesn't end the chain that it overlaps
