@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-import corpus_pipeline
+from . import pipeline
 
 MODULES = ["license_scan", "pii", "quality_knn", "quality_rules", "packing", "html_extract", "toxicity", "tiff", "near_dedup", "bpe"]
 
@@ -17,8 +17,8 @@ def _gathered(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _gathered("QUERIES") | {"pipeline": corpus_pipeline.run}
+    return _gathered("QUERIES") | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return _gathered("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return _gathered("ORACLES") | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

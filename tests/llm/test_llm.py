@@ -12,8 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from sparrowmill.llm import bpe, common, graphs, html_extract, license_scan, near_dedup, packing, pii, quality_knn, quality_rules, registry, shingles, tiff, toxicity
+from sparrowmill.llm import bpe, common, graphs, html_extract, license_scan, near_dedup, packing, pii, pipeline, quality_knn, quality_rules, registry, shingles, tiff, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -764,7 +763,7 @@ def test_toxicity(labelled, odd, none):
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     at = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         nxt = stage(spark, at, data)
         assert nxt.columns == docs.columns, name
         rows = nxt.collect()
@@ -777,9 +776,26 @@ def test_pipeline(spark, data):
         if name == "pii":
             assert not any(base_spans(r["text"]) for r in rows) and all(r["n_chars"] == len(r["text"]) for r in rows)
         at = spark.createDataFrame(rows, docs.schema)
-    want = Counter()
-    by_seq = check_packing(corpus_pipeline.run(spark, data).collect(), [(r["doc_id"], r["text"]) for r in at.collect()])
-    assert by_seq and want is not None
+    by_seq = check_packing(pipeline.run(spark, data).collect(), [(r["doc_id"], r["text"]) for r in at.collect()])
+    assert by_seq
+
+
+def test_pipeline_odd(spark, data, odd, none):
+    import corpus_pipeline
+
+    assert corpus_pipeline.STAGES is pipeline.STAGES and corpus_pipeline.run is pipeline.run
+    long = [(30, prose(200)), (31, prose(200)), (31, prose(200)), (None, prose(90)), (None, prose(90))]
+    docs = odd.union(spark.createDataFrame([(i, t, None, None, None) for i, t in long], DOCS).select("*", *[F.lit(None).alias(f"x{k}") for k in range(len(odd.columns) - 5)]))
+    at = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, none, data).count() == 0
+        at = stage(spark, at, data)
+        assert at.columns == docs.columns, name
+    rows = common.pick(at, "doc_id", "text").collect()
+    ids = [r["doc_id"] for r in rows]
+    assert sum(i is None for i in ids) == 2 and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    assert {7, 30, 31} <= set(ids) and not {1, 2, 3, 4, 8, 9, 21} & set(ids)
+    check_packing(pipeline.packed(spark, at, data).collect(), [(r["doc_id"], r["text"]) for r in rows])
 
 
 def test_registered():
