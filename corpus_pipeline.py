@@ -1,57 +1,5 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, personal data, packing.
+"""The corpus pipeline, by its stages: see `sparrowmill.llm.pipeline`."""
 
-Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
-written as Parquet and read again as the next stage's input.  All but the last return
-the columns of documents.
-"""
+from sparrowmill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sparrowmill.llm import near_dedup, packing, pii, quality_rules, toxicity
-from sparrowmill.llm.common import shared_dir, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current policy of the quality rules."""
-    return quality_rules.keep_good(docs)
-
-
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic, by a model fitted on the labelled ones of the input table."""
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs, model)
-
-
-def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.one_of_each(docs)
-
-
-def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
-    return pii.redact(docs)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
-    return packing.packed(docs)
-
-
-STAGES = [("quality_rules", quality), ("toxicity", clean), ("near_dedup", distinct), ("pii", private), ("packing", packed)]
-
-#: Training, signatures and packing can't be said in SQL; the stages are tested against plain code.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
