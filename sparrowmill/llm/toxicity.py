@@ -33,6 +33,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, RATIO = 4_000, 512, 4, 6.0, 20
 GRADES = (4, 9)
 REJECT = 0.5
+#: How many times worse it is to reject a share of the clean documents than to keep the same share of the toxic ones.
+CALM = 5.0
 
 
 class Model(NamedTuple):
@@ -137,9 +139,26 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.3
         params = params + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         params[len(words) + 1 :] = np.clip(params[len(words) + 1 :], -6, 3)  # a grade that no row has would end at a gap of nothing
     theta = params[len(words)] + np.concatenate([[0], np.cumsum(np.exp(params[len(words) + 1 :]))])
+    theta += cut(x @ params[: len(words)], y) - theta[0]
     return Model(dict(zip(words, params[: len(words)].tolist())), tuple(theta.tolist()))
 
 
+def cut(score: np.ndarray, toxic: np.ndarray) -> float:
+    """Where the share of toxic rows from here on and `CALM` times that of others below are the most together; of equal places the middle of the widest gap.
+
+    The first threshold is put here and the others move along: likelihood places it by all grades at once.
+    """
+    at = np.unique(score)
+    below = np.searchsorted(np.sort(score[toxic == 0]), at[1:], side="left") / max(1, (toxic == 0).sum())
+    above = 1 - np.searchsorted(np.sort(score[toxic == 1]), at[1:], side="left") / max(1, (toxic == 1).sum())
+    if len(at) < 2:
+        return float(at[0]) + 1.0
+    gain = np.round(CALM * below + above, 9)
+    best = np.flatnonzero(gain == gain.max())
+    k = int(best[np.diff(at)[best].argmax()])
+    return float(at[k] + at[k + 1]) / 2
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents; the order by hash makes the choice repeatable.  Their texts go to the driver."""
     rows = pick(labels, "doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -735,6 +735,15 @@ def test_toxicity_gradient():
     assert abs((weight * np.log(p)).mean() - 0.005 * params[:5] @ params[:5] - toxicity.likelihood(params, x, grade, weight, 0.01)[0]) < 1e-9
 
 
+def test_toxic_cut():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        s, y = r.integers(0, 12, 30) / 2, r.integers(0, 2, 30)
+        y[:2] = 0, 1
+        quality = lambda c: (s[y == 1] >= c).mean() + toxicity.CALM * (s[y == 0] < c).mean()  # noqa: B023, E731
+        assert abs(quality(toxicity.cut(s, y)) - max(quality(c) for c in np.unique(s)[1:])) < 1e-9
+
+
 def test_toxic_grades_come_from_the_other_half():
     bags = [Counter({"vile": 5, f"only{k}": 9}) if k % 4 < 2 else Counter({"calm": 3}) for k in range(80)]
     toxic = np.array([int(k % 4 < 2) for k in range(80)])
