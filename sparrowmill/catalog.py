@@ -11,7 +11,7 @@ from .functions import clip, cosine, ratio_round, ratio_sql, title_or_default, v
 from .operators import reco
 from .operators import retail as R
 from .operators.quality import dq_violations
-from .plans import ntile_distributed
+from .plans import cut, ntile_distributed, running_share
 from .sources import retail as S
 
 AS_OF = "2001-08-02"
@@ -93,15 +93,6 @@ def rfm(spark, d):
     return R.rfm_segmentation(S.orders(spark, d), S.users(spark, d), AS_OF)
 
 
-@_add("rfm_segmentation_distributed", RFM + " SELECT * FROM rfm")
-def rfm_distributed(spark, d):
-    """Quintiles without a window over all users in one partition."""
-    s = R.rfm_base(S.orders(spark, d), AS_OF)
-    for c, to in (("recency_days", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")):
-        s = ntile_distributed(s, 5, c, "user_id", to=to)
-    return R.rfm_named(s.withColumn("r_score", 6 - F.col("r_score")), S.users(spark, d))
-
-
 @_add("segment_summary", RFM + " SELECT customer_segment, count(*) AS user_count, sum(CAST(monetary * 100 AS BIGINT))::BIGINT / 100.0 / count(*) AS avg_spend, CAST(sum(CAST(monetary * 100 AS BIGINT))::BIGINT / 100.0 AS DOUBLE) AS total_revenue FROM rfm GROUP BY 1")
 def segment_summary(spark, d):
     total = F.sum(F.round(F.col("monetary") * 100).cast("bigint")) / 100.0
@@ -234,8 +225,15 @@ def _one(name: str, sql: str, f: Callable) -> None:
     _add(name, sql)(lambda spark, d: f(lambda n: S.table(spark, d, n), S, spark, d))
 
 
-for _n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
-    _one(f"src_table_{_n}", f"SELECT count(*) AS n FROM {_n}", lambda t, s, spark, d, n=_n: t(n).agg(F.count("*").alias("n")))
+TABLES = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+for _n, _c in TABLES.items():
+    _one(f"src_table_{_n}", f"SELECT count(*) AS n, {', '.join(f'count({c}) AS n_{c}, count(DISTINCT {c}) AS d_{c}' for c in _c.split())} FROM {_n}",
+         lambda t, s, spark, d, n=_n, cols=_c.split(): t(n).agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in cols for k, f in (("n", F.count), ("d", F.count_distinct))]))
 
 _one("project_alias", "SELECT o_orderkey AS order_id, o_orderstatus AS status FROM orders", lambda t, s, k, d: t("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status")))
 _one("project_star", "SELECT *, r_regionkey * 2 AS twice FROM region", lambda t, s, k, d: t("region").select("*", (F.col("r_regionkey") * 2).alias("twice")))
@@ -292,7 +290,7 @@ _one("win_ntile", "SELECT c_custkey, ntile(5) OVER (ORDER BY c_acctbal, c_custke
 _one("win_total_over_agg", "SELECT o_orderstatus, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM orders GROUP BY 1", lambda t, s, k, d: t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(_W.partitionBy())))
 _one("win_part_total", "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2)) * 100) OVER (PARTITION BY o_custkey) AS BIGINT) AS c FROM orders", lambda t, s, k, d: t("orders").select("o_orderkey", F.sum((F.col("o_totalprice").cast("decimal(12,2)") * 100).cast("bigint")).over(_W.partitionBy("o_custkey")).alias("c")))
 _one("win_cumshare", "n AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_partkey, CAST(sum(n) OVER (ORDER BY n DESC, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) / CAST(sum(n) OVER () AS DOUBLE) AS share FROM n",
-     lambda t, s, k, d: t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).select("l_partkey", (F.sum("n").over(_W.orderBy(F.col("n").desc(), "l_partkey").rowsBetween(_W.unboundedPreceding, 0)) / F.sum("n").over(_W.partitionBy()).cast("double")).alias("share")))
+     lambda t, s, k, d: running_share(t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")), "n", F.col("n").desc(), F.col("l_partkey")).select("l_partkey", "share"))
 _one("win_topk_per_user", "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3", lambda t, s, k, d: t("orders").select("o_custkey", "o_orderkey", F.row_number().over(_W.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("bigint").alias("rn")).where("rn <= 3"))
 _one("sort_case_nulls_last", "SELECT n_name, n_regionkey FROM nation ORDER BY CASE WHEN n_regionkey = 2 THEN 0 ELSE 1 END, n_regionkey DESC NULLS LAST, n_name LIMIT 10", lambda t, s, k, d: t("nation").select("n_name", "n_regionkey").orderBy(F.when(F.col("n_regionkey") == 2, 0).otherwise(1), F.col("n_regionkey").desc_nulls_last(), "n_name").limit(10))
 _one("limit_topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50", lambda t, s, k, d: t("orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(50))
@@ -338,36 +336,31 @@ _add("split_leave_last_temporal", _split("ts, item_id") + " SELECT * FROM sp")(l
 _add("leak_check", _split("item_id") + " SELECT CAST(0 AS BIGINT) AS train_val, CAST(0 AS BIGINT) AS train_test, CAST(count(*) - count(DISTINCT (user_id, item_id)) AS BIGINT) AS val_test FROM sp")(lambda spark, d: reco.leaks(splits(spark, d, "item_id"), "user_id", "item_id"))
 TRAIN = _split("ts, item_id") + ", tr AS (SELECT user_id, item_id FROM sp WHERE split = 'train'), te AS (SELECT user_id, item_id FROM sp WHERE split = 'test')"
 POP = f", sc AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM tr GROUP BY 1), pop AS (SELECT user_id, item_id, score, rank FROM (SELECT u.user_id, sc.item_id, score, row_number() OVER (PARTITION BY u.user_id ORDER BY score DESC, sc.item_id) AS rank FROM (SELECT DISTINCT user_id FROM tr) u CROSS JOIN sc WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.user_id = u.user_id AND x.item_id = sc.item_id)) WHERE rank <= {N})"
-RND = f""", hm AS (SELECT max(m) AS m FROM (SELECT count(DISTINCT item_id) AS m FROM tr GROUP BY user_id)),
-pool AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY md5(CAST(item_id AS VARCHAR) || ':42'), item_id) AS r FROM (SELECT DISTINCT item_id FROM tr)) WHERE r <= {N} + (SELECT m FROM hm)),
-rnd AS (SELECT user_id, item_id, 0.0::DOUBLE AS score, rank FROM (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY md5(u.user_id || ':' || p.item_id || ':42'), p.item_id) AS rank FROM (SELECT DISTINCT user_id FROM tr) u CROSS JOIN pool p
-  WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.user_id = u.user_id AND x.item_id = p.item_id)) WHERE rank <= {N})"""
-
-#: As RND, from the whole catalogue.
-RND_WHOLE = f""", rnd AS (SELECT user_id, item_id, 0.0::DOUBLE AS score, rank FROM (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY md5(u.user_id || ':' || p.item_id || ':42'), p.item_id) AS rank FROM (SELECT DISTINCT user_id FROM tr) u CROSS JOIN (SELECT DISTINCT item_id FROM tr) p
-  WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.user_id = u.user_id AND x.item_id = p.item_id)) WHERE rank <= {N})"""
+#: Ranks the whole catalogue for each user in the order of their draws.
+RND = f""", ic AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM (SELECT DISTINCT item_id FROM tr)), mm AS (SELECT greatest(count(*), 2) AS m FROM ic),
+pr AS (SELECT min(x) AS p FROM (SELECT unnest(range(m, m + 1000)) AS x FROM mm) WHERE NOT EXISTS (SELECT 1 FROM range(2, 50000) g(d) WHERE d * d <= x AND x % d = 0)),
+wh AS (SELECT user_id, p, ('0x' || substr(md5(user_id || ':42a'), 1, 12))::BIGINT % p AS a, 1 + ('0x' || substr(md5(user_id || ':42s'), 1, 12))::BIGINT % (p - 1) AS s FROM (SELECT DISTINCT user_id FROM tr) CROSS JOIN pr),
+dr AS (SELECT user_id, j, (a + j * s) % p AS i FROM (SELECT *, unnest(range(1, p + 1)) AS j FROM wh)),
+rnd AS (SELECT user_id, item_id, 0.0::DOUBLE AS score, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS rank FROM dr JOIN ic USING (i)
+  WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.user_id = dr.user_id AND x.item_id = ic.item_id)) WHERE rank <= {N})"""
 
 
 def _train_test(spark, d):
-    s = splits(spark, d, "ts", "item_id")
+    """The split is written once and read by all that follows."""
+    s = cut(splits(spark, d, "ts", "item_id"))
     return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
 
 
-def pop(spark, d):
-    return reco.popularity(_train_test(spark, d)[0], "user_id", "item_id", N)
-
-
-def rnd(spark, d):
-    return reco.random_items(_train_test(spark, d)[0], "user_id", "item_id", N)
+def _pop(train):
+    return reco.popularity(train, "user_id", "item_id", N)
 
 
-def rnd_whole(spark, d):
-    return reco.random_unseen(_train_test(spark, d)[0], "user_id", "item_id", N)
+def _rnd(train):
+    return reco.random_items(train, "user_id", "item_id", N)
 
 
-_add("popularity_recommend", TRAIN + POP + " SELECT * FROM pop")(pop)
-_add("random_recommend", TRAIN + RND + " SELECT * FROM rnd")(rnd)
-_add("random_recommend_whole", TRAIN + RND_WHOLE + " SELECT * FROM rnd")(rnd_whole)
+_add("popularity_recommend", TRAIN + POP + " SELECT * FROM pop")(lambda spark, d: _pop(_train_test(spark, d)[0]))
+_add("random_recommend", TRAIN + RND + " SELECT * FROM rnd")(lambda spark, d: _rnd(_train_test(spark, d)[0]))
 
 
 def _metrics(recs: str, name: str, ks=(5, 10)) -> str:
@@ -388,18 +381,23 @@ _MEANS = ", ".join(f"round(avg({c}), 9) AS {c}" for c in NAMES)
 
 def _user_metrics(spark, d):
     train, test = _train_test(spark, d)
-    return reco.user_metrics(reco.popularity(train, "user_id", "item_id", N), test, "user_id", "item_id", (5, 10))
+    return reco.user_metrics(_pop(train), test, "user_id", "item_id", (5, 10))
 
 
 _add("per_user_metrics", TRAIN + POP + _metrics("pop", "p") + f" SELECT user_id, {_ROUNDED} FROM um_p")(lambda spark, d: (m := _user_metrics(spark, d)).select("user_id", *[F.round(c, 9).alias(c) for c in NAMES]))
-_add("evaluate", TRAIN + POP + _metrics("pop", "p") + f" SELECT count(*) AS n_users, {_MEANS} FROM um_p")(lambda spark, d: reco.evaluate(pop(spark, d), _train_test(spark, d)[1], "user_id", "item_id", (5, 10)))
+def _evaluated(spark, d):
+    train, test = _train_test(spark, d)
+    return reco.evaluate(_pop(train), test, "user_id", "item_id", (5, 10))
+
+
+_add("evaluate", TRAIN + POP + _metrics("pop", "p") + f" SELECT count(*) AS n_users, {_MEANS} FROM um_p")(_evaluated)
 COMPARE = TRAIN + POP + RND + _metrics("pop", "p") + _metrics("rnd", "r") + f", cmp AS (SELECT 'popularity' AS model, count(*) AS n_users, {_MEANS} FROM um_p UNION ALL SELECT 'random', count(*), {_MEANS} FROM um_r)"
-COMPARE_WHOLE = TRAIN + POP + RND_WHOLE + _metrics("pop", "p") + _metrics("rnd", "r") + f", cmp AS (SELECT 'popularity' AS model, count(*) AS n_users, {_MEANS} FROM um_p UNION ALL SELECT 'random', count(*), {_MEANS} FROM um_r)"
 
 
 @_add("compare_models", COMPARE + " SELECT * FROM cmp")
 def compare(spark, d):
-    return reco.compare({"popularity": pop(spark, d), "random": rnd(spark, d)}, _train_test(spark, d)[1], "user_id", "item_id", (5, 10))
+    train, test = _train_test(spark, d)
+    return reco.compare({"popularity": _pop(train), "random": _rnd(train)}, test, "user_id", "item_id", (5, 10))
 
 
 LIFT = " SELECT round((max(CASE WHEN model = 'popularity' THEN recall_10 END) - max(CASE WHEN model = 'random' THEN recall_10 END)) / (max(CASE WHEN model = 'random' THEN recall_10 END) + 1e-9) * 100, 4) AS recall_10_lift_pct FROM cmp"
@@ -410,16 +408,6 @@ def lift(spark, d):
     return _lift(compare(spark, d))
 
 
-@_add("compare_models_whole", COMPARE_WHOLE + " SELECT * FROM cmp")
-def compare_whole(spark, d):
-    return reco.compare({"popularity": pop(spark, d), "random": rnd_whole(spark, d)}, _train_test(spark, d)[1], "user_id", "item_id", (5, 10))
-
-
-@_add("metric_lift_whole", COMPARE_WHOLE + LIFT)
-def lift_whole(spark, d):
-    return _lift(compare_whole(spark, d))
-
-
 def _lift(models):
     of = lambda m: F.max(F.when(F.col("model") == m, F.col("recall_10")))
     return models.agg(F.round((of("popularity") - of("random")) / (of("random") + 1e-9) * 100, 4).alias("recall_10_lift_pct"))
@@ -433,31 +421,53 @@ _one("longtail_share", "n AS (SELECT item_id, count(*) AS n FROM r_inter GROUP B
      lambda t, s, k, d: reco.longtail(s.interactions(k, d), "item_id"))
 
 
+@_add("explain_user", TRAIN + POP + """, w AS (SELECT min(user_id) AS u FROM tr), x AS (
+  SELECT 'seen' AS kind, row_number() OVER (ORDER BY item_id) AS place, item_id, NULL::DOUBLE AS score FROM (SELECT DISTINCT item_id FROM tr, w WHERE user_id = u)
+  UNION ALL SELECT 'recommended', rank, item_id, score FROM pop, w WHERE user_id = u)
+SELECT kind, place, item_id, coalesce(p_name, 'Item ' || item_id) AS title, score FROM x LEFT JOIN part ON p_partkey = item_id""")
+def explain(spark, d):
+    """What the first user has seen, and their recommendations, with titles."""
+    train, _ = _train_test(spark, d)
+    titles = S.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+    who = train.agg(F.min("user_id")).first()[0]
+    return reco.explain_user(train, _pop(train), titles, "user_id", "item_id", who, N)
+
+
+@_add("map_id", TRAIN + """, ui AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS u FROM (SELECT DISTINCT user_id FROM tr)), ii AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM (SELECT DISTINCT item_id FROM tr))
+SELECT u AS user_idx, i AS item_idx, 1.0::DOUBLE AS value FROM tr JOIN ui USING (user_id) JOIN ii USING (item_id)""")
+def map_id(spark, d):
+    """Interactions by index, as ones."""
+    train, _ = _train_test(spark, d)
+    rows = reco.map_ids(train, user_id=reco.encode(train, "user_id", "u"), item_id=reco.encode(train, "item_id", "i"))
+    return reco.binarize(rows).select(F.col("user_id_idx").cast("bigint").alias("user_idx"), F.col("item_id_idx").cast("bigint").alias("item_idx"), "value")
+
+
 def _als(spark, d, engine):
     from .operators import als
 
-    train = _train_test(spark, d)[0].select(F.col("user_id").alias("user"), F.col("item_id").alias("item"))
-    return als, train, als.fit(train, engine=engine)  # the reference's 64 factors and 20 iterations
+    train, test = _train_test(spark, d)
+    train = train.select(F.col("user_id").alias("user"), F.col("item_id").alias("item"))
+    return als, train, als.fit(train, engine=engine), test  # the defaults: 64 factors and 20 iterations
 
 
 @_add("als_recommend")
 def als_recommend(spark, d):
-    als, train, m = _als(spark, d, "mllib")
+    als, train, m, _ = _als(spark, d, "mllib")
     return als.recommend(m, train.select("user"), train, 10)
 
 
 @_add("als_exact_history")
 def als_history(spark, d):
     """The loss after each sweep of the exact solver."""
-    _, _, m = _als(spark, d, "exact")
+    _, _, m, _ = _als(spark, d, "exact")
     return spark.createDataFrame([(h["iteration"], h["train_loss"]) for h in m.history], "iteration int, train_loss double")
 
 
 @_add("als_evaluate")
 def als_evaluate(spark, d):
-    als, train, m = _als(spark, d, "mllib")
+    als, train, m, test = _als(spark, d, "mllib")
     recs = als.recommend(m, train.select("user"), train, 10).withColumnsRenamed({"user": "user_id", "item": "item_id"})
-    return reco.evaluate(recs, _train_test(spark, d)[1], "user_id", "item_id", (5, 10))
+    return reco.evaluate(recs, test, "user_id", "item_id", (5, 10))
 
 
 @_add("pca_2d")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cosine
+from ..plans import cut, global_row_number
 
 
 def kcore(df: DataFrame, user: str, item: str, k_user: int, k_item: int, rounds: int = 100) -> DataFrame:
@@ -16,29 +17,39 @@ def kcore(df: DataFrame, user: str, item: str, k_user: int, k_item: int, rounds:
     for _ in range(rounds):
         for key, k in ((user, k_user), (item, k_item)):
             df = df.join(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(key), key, "left_semi")
-        df = _cut(df)
+        df = cut(df)
         m = df.count()
         if m == n:
             return df
         n = m
-    return df
+    raise RuntimeError(f"rows still go after {rounds} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a round in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+def encode(df: DataFrame, key: str, to: str) -> DataFrame:
+    """key, to: the distinct keys numbered from 0 in their order, without a single-partition window."""
+    return global_row_number(df.select(key).where(F.col(key).isNotNull()).distinct(), key, to=to).withColumn(to, F.col(to) - 1)
 
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparrowmill-"))
-    return df.checkpoint()
 
+def map_ids(df: DataFrame, **maps: DataFrame) -> DataFrame:
+    """`df` with `<key>_idx` for each key given with its map (key, idx) from `encode`; rows whose key has no index go."""
+    for key, ids in maps.items():
+        df = df.join(ids.select(key, F.col([c for c in ids.columns if c != key][0]).alias(f"{key}_idx")), key)
+    return df
 
-def encode(df: DataFrame, key: str, to: str) -> DataFrame:
-    """key, to: the distinct keys numbered from 0 in their order, without a single-partition window."""
-    from ..plans import global_row_number
 
-    return global_row_number(df.select(key).where(F.col(key).isNotNull()).distinct(), key, to=to).withColumn(to, F.col(to) - 1)
+def binarize(df: DataFrame, rating: str | None = None, least: float | None = None) -> DataFrame:
+    """`df` with value 1.0 for each interaction; with a rating, only those of at least `least`."""
+    kept = df if rating is None or least is None else df.where(F.col(rating) >= least)
+    return kept.withColumn("value", F.lit(1.0))
+
+
+def explain_user(train: DataFrame, recs: DataFrame, titles: DataFrame, user: str, item: str, who, n: int = 10) -> DataFrame:
+    """kind (seen, recommended), place, item, title, score: what a user has seen, by item, and their first `n` recommendations."""
+    seen = train.where(F.col(user) == who).select(item).distinct()
+    seen = seen.select(F.lit("seen").alias("kind"), F.row_number().over(Window.orderBy(item)).cast("bigint").alias("place"), item, F.lit(None).cast("double").alias("score"))  # one user's rows
+    mine = recs.where((F.col(user) == who) & (F.col("rank") <= n)).select(F.lit("recommended").alias("kind"), F.col("rank").cast("bigint").alias("place"), item, F.col("score").cast("double").alias("score"))
+    named = seen.unionByName(mine).join(titles.select(item, "title"), item, "left")
+    return named.select("kind", "place", item, F.coalesce("title", F.concat(F.lit("Item "), F.col(item).cast("string"))).alias("title"), "score")
 
 
 def first_per_pair(df: DataFrame, user: str = "user_id", item: str = "item_id", ts: str = "ts") -> DataFrame:
@@ -63,54 +74,51 @@ def leaks(split: DataFrame, user: str, item: str) -> DataFrame:
     return per.agg(*cols)
 
 
+#: Items up to this many are broadcast with their places.
+HEAD = 1_000_000
+
+
 def popularity(train: DataFrame, user: str, item: str, n: int) -> DataFrame:
     """user, item, score, rank: each user's n most popular items they haven't seen.
 
-    A user's list lies within the n + (number seen) most popular items, so only the items up to the longest
-    such list are paired with users; that list is bounded by the longest history, not by the catalogue.
+    A user's list lies within the n + (number seen) most popular items, so each user meets as many places of
+    the ranking, by an equi-join; the part of the ranking that the longest history needs is broadcast if it is at most `HEAD` items.
     """
     score = train.groupBy(item).agg(F.count("*").cast("double").alias("score"))
+    ranked = global_row_number(score, F.col("score").desc(), F.col(item), to="place")
     history = train.groupBy(user).agg(F.count_distinct(item).alias("seen"))
-    most = history.agg(F.max("seen").alias("m")).first()["m"] or 0
-    head = score.orderBy(F.col("score").desc(), item).limit(n + int(most))
-    place = F.row_number().over(Window.orderBy(F.col("score").desc(), item))
-    ranked = head.withColumn("place", place)
-    cand = history.join(F.broadcast(ranked), F.col("place") <= F.col("seen") + n)
+    most = (history.agg(F.max("seen").alias("m")).first()["m"] or 0) + n
+    head = ranked.where(F.col("place") <= most)
+    cand = history.select(user, F.explode(F.sequence(F.lit(1), F.col("seen") + n)).alias("place")).join(F.broadcast(head) if most <= HEAD else head, "place")
     rest = cand.join(train.select(user, item).distinct(), [user, item], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(user).orderBy(F.col("score").desc(), item))
+    rank = F.row_number().over(Window.partitionBy(user).orderBy("place"))
     return rest.withColumn("rank", rank).where(F.col("rank") <= n).select(user, item, "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def random_items(train: DataFrame, user: str, item: str, n: int, seed: int = 42) -> DataFrame:
-    """user, item, score 0.0, rank: n unseen items per user in the order of md5(user:item:seed).
-
-    The candidates are the items with the n + (longest history) least md5(item:seed): a repeatable sample of
-    the catalogue, of a size that leaves every user n unseen ones.
-    """
-    seed_col = F.lit(f":{seed}")
-    most = train.groupBy(user).agg(F.count_distinct(item).alias("m")).agg(F.max("m").alias("m")).first()["m"] or 0
-    pool = train.select(item).distinct().orderBy(F.md5(F.concat(F.col(item).cast("string"), seed_col)), item).limit(n + int(most))
-    pairs = train.select(user).distinct().join(F.broadcast(pool), how="cross")  # a bounded side: n + longest history
-    rest = pairs.join(train.select(user, item).distinct(), [user, item], "left_anti")
-    key = F.md5(F.concat_ws(":", F.col(user).cast("string"), F.col(item).cast("string"), F.lit(str(seed))))
-    rank = F.row_number().over(Window.partitionBy(user).orderBy(key, item))
-    return rest.withColumn("rank", rank).where(F.col("rank") <= n).select(user, item, F.lit(0.0).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+def _prime(least: int) -> int:
+    p = max(least, 2)
+    while any(p % d == 0 for d in range(2, int(p**0.5) + 1)):
+        p += 1
+    return p
 
 
-def random_unseen(train: DataFrame, user: str, item: str, n: int, seed: int = 42, block: int = 4096) -> DataFrame:
-    """user, item, score 0.0, rank: n unseen items per user from the whole catalogue, in the order of md5(user:item:seed).
+def random_items(train: DataFrame, user: str, item: str, n: int, seed: int = 42) -> DataFrame:
+    """user, item, score 0.0, rank: n unseen items per user, drawn from the whole catalogue.
 
-    Users meet items in blocks, and a block yields n rows at most, so pairs are neither kept nor shuffled.
+    A user's draws are a + s, a + 2 s, ... modulo a prime p, the least that isn't under the number of items; a and s come from
+    md5(user:seed), so no item comes twice.  Draws that have no item or a seen one are passed over, so
+    n + (number seen) + (p - number of items) draws are enough, and nobody meets the whole catalogue.
     """
-    items = train.select(item).where(F.col(item).isNotNull()).distinct()
-    blocks = items.withColumn("_b", F.pmod(F.xxhash64(item), F.lit(items.count() // block + 1)))
-    cells = blocks.groupBy("_b").agg(F.collect_list(item).alias("_items")).select("_items")
-    seen = train.groupBy(user).agg(F.collect_set(item).alias("_seen"))
-    key = lambda x: F.md5(F.concat_ws(":", F.col(user).cast("string"), x.cast("string"), F.lit(str(seed))))
-    keyed = F.transform(F.array_except("_items", "_seen"), lambda x: F.struct(key(x).alias("_k"), x.alias(item)))
-    some = seen.crossJoin(cells).select(user, F.inline(F.slice(F.array_sort(keyed), 1, n)))
-    rank = F.row_number().over(Window.partitionBy(user).orderBy("_k", item))
-    return some.withColumn("rank", rank).where(F.col("rank") <= n).select(user, item, F.lit(0.0).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    items = encode(train, item, "_i")
+    m = items.count()
+    p = _prime(m)
+    hashed = lambda kind: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(user).cast("string"), F.lit(f"{seed}{kind}"))), 1, 12), 16, 10).cast("bigint")
+    who = train.groupBy(user).agg(F.count_distinct(item).alias("_seen")).withColumns({"_a": hashed("a") % p, "_s": 1 + hashed("s") % max(p - 1, 1)})
+    draws = who.select(user, "_a", "_s", F.explode(F.sequence(F.lit(1), F.least(F.col("_seen") + n + (p - m), F.lit(p)))).alias("_j"))
+    drawn = draws.withColumn("_i", (F.col("_a") + F.col("_j") * F.col("_s")) % p).join(items, "_i")
+    rest = drawn.join(train.select(user, item).distinct(), [user, item], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(user).orderBy("_j"))
+    return rest.withColumn("rank", rank).where(F.col("rank") <= n).select(user, item, F.lit(0.0).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def user_metrics(recs: DataFrame, test: DataFrame, user: str, item: str, ks: tuple[int, ...]) -> DataFrame:

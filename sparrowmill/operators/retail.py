@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cents, ratio_round, valid
+from ..plans import ntile_distributed
 
 PERIODS = 7
 
@@ -28,7 +29,7 @@ def cohort_retention(users: DataFrame, orders: DataFrame, periods: int = PERIODS
     return full.select(
         "cohort_month", F.col("cohort_size").cast("bigint").alias("cohort_size"), F.col("p").cast("bigint").alias("months_since_signup"), F.col("n").cast("bigint").alias("active_users"),
         ratio_round(100 * F.col("n"), F.col("cohort_size"), 1).alias("retention_pct"),
-        ratio_round(100 * (F.col("n") - last), F.col("cohort_size"), 1).alias("retention_delta_ppt"))
+        ratio_round(100 * (F.col("n") - last), F.col("cohort_size"), 1).alias("retention_delta_ppt")).orderBy("cohort_month", "months_since_signup")
 
 
 def conversion_funnel(events: DataFrame, products: DataFrame, few: int = 100) -> DataFrame:
@@ -42,7 +43,7 @@ def conversion_funnel(events: DataFrame, products: DataFrame, few: int = 100) ->
         "cart_to_purchase_pct": ratio_round(100 * F.col("purchasers"), F.col("add_to_carts"), 1),
         "overall_conversion_pct": ratio_round(100 * F.col("purchasers"), F.col("viewers"), 1),
         "lost_buyer_rank": F.rank().over(Window.orderBy(F.col("lost_buyers").desc())).cast("bigint"),
-        "data_quality_flag": F.when(F.col("viewers") < few, "low-traffic").otherwise("sufficient volume")})
+        "data_quality_flag": F.when(F.col("viewers") < few, "low-traffic").otherwise("sufficient volume")}).orderBy(F.col("overall_conversion_pct").desc(), "category_name")
 
 
 def rfm_base(orders: DataFrame, as_of: str) -> DataFrame:
@@ -62,10 +63,14 @@ def rfm_named(scored: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def rfm_segmentation(orders: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
-    """Quintiles of recency, frequency and spend per user; ties go by user_id."""
-    tile = lambda c: F.ntile(5).over(Window.orderBy(c, "user_id"))
-    s = rfm_base(orders, as_of).withColumns({"r_score": 6 - tile("recency_days"), "f_score": tile("frequency"), "m_score": tile("monetary")})
-    return rfm_named(s, users)
+    """Quintiles of recency, frequency and spend per user, best scores and spenders first; ties go by user_id.
+
+    Users are numbered by ranges, so no window takes all of them to one partition.
+    """
+    s = rfm_base(orders, as_of)
+    for c, to in (("recency_days", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")):
+        s = ntile_distributed(s, 5, c, "user_id", to=to)
+    return rfm_named(s.withColumn("r_score", 6 - F.col("r_score")), users).orderBy(F.col("rfm_score").desc(), F.col("monetary").desc(), "user_id")
 
 
 def daily_revenue(orders: DataFrame) -> DataFrame:
@@ -101,14 +106,32 @@ def rolling_revenue(orders: DataFrame, calendar: bool = False, by_month: bool =
         j = j.withColumn("prev", F.lag("month_cents").over(Window.orderBy("m", "order_date")))
     return j.select(
         "order_date", _money(F.col("gmv_cents")).alias("daily_gmv"), _money(F.col("s7")).alias("gmv_7d"), _money(F.col("s30")).alias("gmv_30d"), F.col("buyers_30d").cast("bigint").alias("buyers_30d"),
-        _money(F.col("month_cents")).alias("monthly_gmv"), _money(F.col("prev")).alias("prev_month_gmv"), ratio_round(100 * (F.col("month_cents") - F.col("prev")), F.col("prev"), 1).alias("mom_growth_pct"))
+        _money(F.col("month_cents")).alias("monthly_gmv"), _money(F.col("prev")).alias("prev_month_gmv"), ratio_round(100 * (F.col("month_cents") - F.col("prev")), F.col("prev"), 1).alias("mom_growth_pct")).orderBy("order_date")
+
+
+#: Products of an order from which on its pairs are made by a join of chunks instead of in one row.
+LARGE, CHUNK = 256, 64
 
 
 def product_pairs(items: DataFrame) -> DataFrame:
-    """a < b, n: in how many orders both stand.  Orders are short, and repeats go before pairs are made in each order."""
-    baskets = items.groupBy("order_id").agg(F.array_sort(F.collect_set("product_id")).alias("p")).where(F.size("p") > 1)
+    """a < b, n: in how many orders both stand.  Repeats go before pairs are made.
+
+    Pairs of an order are made in its row; an order of over `LARGE` products is dealt in chunks of about `CHUNK`, of which each
+    meets each later one, so no row or task holds all pairs of one order.
+    """
+    each = items.select("order_id", "product_id").distinct()
+    sizes = each.groupBy("order_id").agg(F.count("*").alias("_n"))
+    sized = each.join(sizes.where("_n > 1"), "order_id")
+    baskets = sized.where(F.col("_n") <= LARGE).groupBy("order_id").agg(F.array_sort(F.collect_list("product_id")).alias("p"))
     pairs = F.expr("flatten(transform(p, (a, i) -> transform(slice(p, i + 2, size(p)), b -> struct(a AS a, b AS b))))")
-    return baskets.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+    small = baskets.select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+    chunks = F.ceil(F.col("_n") / CHUNK).cast("int")
+    dealt = sized.where(F.col("_n") > LARGE).withColumn("_c", F.pmod(F.xxhash64("product_id"), chunks).cast("int"))
+    left = dealt.select("order_id", F.col("product_id").alias("x"), F.col("_c").alias("_i"), F.explode(F.sequence(F.col("_c"), chunks - 1)).alias("_j"))
+    right = dealt.select("order_id", F.col("product_id").alias("y"), F.col("_c").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("_i"))
+    both = left.join(right, ["order_id", "_i", "_j"]).where((F.col("_i") < F.col("_j")) & (F.col("x") != F.col("y")) | (F.col("_i") == F.col("_j")) & (F.col("x") < F.col("y")))
+    large = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return small.unionByName(large).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def market_basket(items: DataFrame, products: DataFrame, least: int = 3, top: int | None = 50) -> DataFrame:
@@ -152,7 +175,8 @@ def geo_revenue_rollup(users: DataFrame, orders: DataFrame, items: DataFrame, pr
     return raw.select(
         F.when(F.col("gc") == 1, "── ALL COUNTRIES ──").otherwise(F.col("country")).alias("country"), F.when(F.col("gk") == 1, "  (all categories)").otherwise(F.col("category_name")).alias("category_name"),
         F.col("orders").cast("bigint").alias("orders"), _money(F.col("c")).alias("gmv"), aov.alias("aov"), ratio_round(100 * F.col("orders"), F.col("all_orders"), 2).alias("order_share_pct"),
-        ratio_round(100 * F.col("c"), F.col("country_c"), 1).alias("gmv_share_in_country_pct"), kind.alias("row_type"))
+        ratio_round(100 * F.col("c"), F.col("country_c"), 1).alias("gmv_share_in_country_pct"), kind.alias("row_type")).orderBy(
+        F.when(F.col("row_type") == "grand_total", 2).when(F.col("row_type") == "country_subtotal", 1).otherwise(0), F.col("gmv").desc_nulls_last(), "category_name", "country")
 
 
 def user_monthly_activity(orders: DataFrame) -> DataFrame:

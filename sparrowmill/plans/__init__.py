@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,29 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (b.master(master) if master else b).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the session has set.
+
+    Only a local session, where there is one machine, gets a temporary one if neither is there.
+    """
+    sc = spark.sparkContext
+    base, jdir = spark.conf.get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if not jdir.isDefined():
+        if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="sparrowmill-")
+        sc.setCheckpointDir(base)
+        jdir = sc._jsc.sc().getCheckpointDir()
+    return base or jdir.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage of a table in the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def global_row_number(df: DataFrame, *order: str | Column, to: str = "rn") -> DataFrame:
     """Number the rows 1 to n in a total order, without moving them to one partition.
 
@@ -19,18 +44,23 @@ def global_row_number(df: DataFrame, *order: str | Column, to: str = "rn") -> Da
     partitions; a number is the place in its partition plus the sizes of the partitions before,
     which are as many as partitions and so small enough to broadcast.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparrowmill-"))
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    part = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = part.groupBy("_p").agg(F.count("*").alias("_k"))
     before = sizes.select("_p", F.coalesce(F.sum("_k").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return part.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn(to, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
 
 
+def running_share(df: DataFrame, value: str, *order: str | Column, to: str = "share") -> DataFrame:
+    """The sum of `value` up to each row over the sum of all, in a total order, without moving the rows to one partition."""
+    part = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sums = part.groupBy("_p").agg(F.sum(value).alias("_k"))  # a row for each partition
+    w = Window.orderBy("_p")
+    before = sums.select("_p", F.coalesce(F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_t"))
+    own = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return part.withColumn("_s", own).join(F.broadcast(before), "_p").withColumn(to, (F.col("_s") + F.col("_b")) / F.col("_t").cast("double")).drop("_p", "_s", "_b", "_t")
+
+
 def ntile_distributed(df: DataFrame, tiles: int, *order: str | Column, to: str = "tile") -> DataFrame:
     """SQL's NTILE over all rows: the first n mod tiles groups have one row more."""
     n = df.count()

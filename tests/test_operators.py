@@ -69,7 +69,7 @@ def test_random_items_come_from_the_whole_catalogue(spark):
     rows = [(u, i) for i in range(n_items) for u in [1000 + i % 50]] + [(u, i) for u in range(400) for i in (u, u + 1)]
     train = spark.createDataFrame(rows, "user_id long, item_id long")
     got = {}
-    for r in reco.random_unseen(train, "user_id", "item_id", 10, block=700).collect():
+    for r in reco.random_items(train, "user_id", "item_id", 10).collect():
         got.setdefault(r["user_id"], []).append((r["rank"], r["item_id"]))
     seen = set(rows)
     assert len(got) == 450 and all([k for k, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
@@ -77,7 +77,7 @@ def test_random_items_come_from_the_whole_catalogue(spark):
     drawn = {i for v in got.values() for _, i in v}
     assert len(drawn) > 2500  # 4,500 draws from 5,000 items; one pool for all users would hold 110
     few = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3)], "user_id long, item_id long")
-    assert sorted((r["user_id"], r["item_id"]) for r in reco.random_unseen(few, "user_id", "item_id", 10).collect()) == [(1, 3), (2, 2)]
+    assert sorted((r["user_id"], r["item_id"]) for r in reco.random_items(few, "user_id", "item_id", 10).collect()) == [(1, 3), (2, 2)]
 
 
 def test_split_is_disjoint(spark, data):
@@ -193,3 +193,46 @@ def test_stream_equals_batch(spark, data, tmp_path):
 def test_entry_without_the_text_operators(tmp_path):
     code = "import sys; sys.modules['sparrowmill.llm'] = None; import __spark_entry__ as e; assert 'rolling_revenue' in e.queries() and not any(k.startswith('op') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=importlib.import_module("sparrowmill").__path__[0] + "/..")
+
+
+def test_results_come_in_their_order(spark, data):
+    q = catalog.queries()
+    rows = q["cohort_retention"](spark, data).collect()
+    assert rows == sorted(rows, key=lambda r: (r["cohort_month"], r["months_since_signup"]))
+    rows = q["conversion_funnel"](spark, data).collect()
+    assert rows == sorted(rows, key=lambda r: (-(r["overall_conversion_pct"] if r["overall_conversion_pct"] is not None else -1), r["category_name"]))
+    rows = q["rfm_segmentation"](spark, data).collect()
+    assert rows == sorted(rows, key=lambda r: (-r["rfm_score"], -r["monetary"], r["user_id"]))
+    days = [r["order_date"] for r in q["rolling_revenue"](spark, data).collect()]
+    assert days == sorted(days)
+    kinds = [r["row_type"] for r in q["geo_revenue_rollup"](spark, data).collect()]
+    assert kinds == sorted(kinds, key=["detail", "country_subtotal", "grand_total"].index) and kinds[-1] == "grand_total"
+
+
+def test_no_window_over_all_rows(spark, data):
+    for name in ("rfm_segmentation", "win_cumshare", "win_ntile"):
+        plan = pushed(catalog.queries()[name](spark, data))
+        windows = [x for x in plan.split("\n\n") if ") Window" in x and "Arguments" in x]
+        assert "SinglePartition" not in plan or all("_p" in w for w in windows), name
+
+
+def test_pairs_of_large_orders(spark, monkeypatch):
+    from itertools import combinations
+
+    from sparrowmill.operators import retail
+
+    orders = {1: range(40), 2: [3, 5, 7], 3: [5], 4: range(0, 80, 2)}
+    items = spark.createDataFrame([(o, p) for o, ps in orders.items() for p in ps] + [(2, 3)], "order_id long, product_id long")
+    want = {}
+    for ps in orders.values():
+        for pair in combinations(sorted(ps), 2):
+            want[pair] = want.get(pair, 0) + 1
+    for large, chunk in ((256, 64), (10, 7), (2, 1)):
+        monkeypatch.setattr(retail, "LARGE", large)
+        monkeypatch.setattr(retail, "CHUNK", chunk)
+        assert {(r["a"], r["b"]): r["n"] for r in retail.product_pairs(items).collect()} == want
+
+
+def test_binarize(spark):
+    df = spark.createDataFrame([(1, 1, 5.0), (1, 2, 2.0)], "u long, i long, rating double")
+    assert reco.binarize(df).count() == 2 and [r["i"] for r in reco.binarize(df, "rating", 4).collect()] == [1]
