@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import shared_dir
+
 #: The separators of the word rules: space and the control characters 9 to 13.
 SPACES = r"\x20\x09-\x0D"
 
@@ -28,17 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the session has set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not jdir.isDefined():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = jdir.get()
-    return base
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Write `df` under the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
