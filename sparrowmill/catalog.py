@@ -333,7 +333,9 @@ def splits(spark, d, *order):
 
 _add("split_leave_last", _split("item_id") + " SELECT * FROM sp")(lambda spark, d: splits(spark, d, "item_id"))
 _add("split_leave_last_temporal", _split("ts, item_id") + " SELECT * FROM sp")(lambda spark, d: splits(spark, d, "ts", "item_id"))
-_add("leak_check", _split("item_id") + " SELECT CAST(0 AS BIGINT) AS train_val, CAST(0 AS BIGINT) AS train_test, CAST(count(*) - count(DISTINCT (user_id, item_id)) AS BIGINT) AS val_test FROM sp")(lambda spark, d: reco.leaks(splits(spark, d, "item_id"), "user_id", "item_id"))
+_add("leak_check", _split("item_id") + """, x AS (SELECT bool_or(split = 'train') AS tr, bool_or(split = 'val') AS va, bool_or(split = 'test') AS te FROM sp GROUP BY user_id, item_id)
+SELECT count(*) FILTER (WHERE tr AND va) AS train_val, count(*) FILTER (WHERE tr AND te) AS train_test, count(*) FILTER (WHERE va AND te) AS val_test FROM x""")(
+    lambda spark, d: reco.leaks(splits(spark, d, "item_id"), "user_id", "item_id"))
 TRAIN = _split("ts, item_id") + ", tr AS (SELECT user_id, item_id FROM sp WHERE split = 'train'), te AS (SELECT user_id, item_id FROM sp WHERE split = 'test')"
 POP = f", sc AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM tr GROUP BY 1), pop AS (SELECT user_id, item_id, score, rank FROM (SELECT u.user_id, sc.item_id, score, row_number() OVER (PARTITION BY u.user_id ORDER BY score DESC, sc.item_id) AS rank FROM (SELECT DISTINCT user_id FROM tr) u CROSS JOIN sc WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.user_id = u.user_id AND x.item_id = sc.item_id)) WHERE rank <= {N})"
 #: Ranks the whole catalogue for each user in the order of their draws.

@@ -123,6 +123,31 @@ def test_als_learns_the_blocks(spark, blocks):
     assert len(recs) == 90 and sum(r["item"] // 10 == r["user"] % 2 for r in recs) > 80
 
 
+@pytest.mark.parametrize("head", [1 << 20, 0])
+def test_recommend_by_brute_force(spark, head):
+    """Ties, users without history, one who has seen all but two items, and blocks of users and items."""
+    rng = np.random.default_rng(4)
+    us, vs = rng.integers(-2, 3, (40, 3)), rng.integers(-2, 3, (57, 3))
+    frame = lambda m, by: spark.createDataFrame([(i * by, [float(x) for x in r]) for i, r in enumerate(m)], "id long, features array<float>")
+    seen = {(u, int(i) * 7) for u in range(0, 40, 2) for i in rng.choice(57, 9)} | {(3, i * 7) for i in range(55)}
+    model = als.Model(frame(us, 1), frame(vs, 7), {"factors": 3})
+    got = als.recommend(model, spark.range(50).withColumnRenamed("id", "user"), spark.createDataFrame([*seen, *seen], "user long, item long"), 5, head, 10)
+    plan = pushed(got)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    want = []
+    for u in range(40):
+        best = sorted((-float(us[u] @ v), i * 7) for i, v in enumerate(vs) if (u, i * 7) not in seen)
+        want += [(u, i, -s, r + 1) for r, (s, i) in enumerate(best[:5])]
+    assert sorted((r["user"], r["item"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
+    none = als.Model(frame(us, 1), frame([], 7), {"factors": 3})
+    assert als.recommend(none, spark.range(3).withColumnRenamed("id", "user"), None, 5, head, 10).count() == 0
+
+
+def test_mllib_refuses_ids_that_it_would_cut(spark):
+    with pytest.raises(ValueError):
+        als.fit(spark.createDataFrame([(1, 1 << 40)], "user long, item long"), factors=2, iterations=1)
+
+
 @pytest.mark.parametrize("name", ["als_recommend", "als_evaluate", "als_exact_history"])
 def test_als_queries_run_the_whole_job(spark, data, monkeypatch, name):
     class Fitted(Exception):
