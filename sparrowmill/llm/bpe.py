@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Recent, map_batches, pick, table, texts_of
+from .common import Recent, held, map_batches, pick, table, texts_of
 
 REMEMBER, WIDE, GROUP = 200_000, 64, 1 << 21
 _LATIN = "ɏ"
@@ -320,9 +319,8 @@ class Codec:
                 yield every.count(b" ") + 1 if ids else 0, hashlib.sha256(every).hexdigest(), hashlib.sha256(b" ".join(decoded)).hexdigest()
 
 
-@cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held((Codec, path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

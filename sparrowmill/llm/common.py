@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,10 +81,39 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+_HELD: dict[Hashable, object] = {}
+_OWNER: list[str] = [""]
+
+
+def held(key: Hashable, make: Callable):
+    """`make()`, kept in this process under `key` until a step of another operator begins."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def begin(owner: str) -> None:
+    """A step of `owner` begins in this Python worker.
+
+    Workers are used again by later stages; vocabularies and memories that another operator left would
+    count against the executor all along, so they go and their pages go back to the system.
+    """
+    if _OWNER[0] == owner:
+        return
+    _OWNER[0] = owner
+    _HELD.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply `fn` to each Arrow batch; it returns columns by name, in the order of `schema`."""
+    owner = fn.__module__
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         for batch in batches:
             for piece in small(batch):
                 yield pa.RecordBatch.from_pydict(fn(piece))

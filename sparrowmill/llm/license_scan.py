@@ -25,13 +25,12 @@ results; an empty table gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pick, table, texts_of
+from .common import held, map_batches, pick, table, texts_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -259,9 +258,8 @@ class Scanner:
         return out
 
 
-@cache
 def scanner() -> Scanner:
-    return Scanner()
+    return held(Scanner, Scanner)
 
 
 COLUMNS = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.string()}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import among, discard, lookup, map_batches, pick, small, stash, table, texts_of
+from .common import among, begin, discard, lookup, map_batches, pick, small, stash, table, texts_of
 from .graphs import components
 
 DEPTH, TREES, AFTER = 3, 21, 4
@@ -133,6 +133,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         depth = np.zeros(len(region), np.int32) if depth is None else depth
         return pa.RecordBatch.from_pydict({"kind": np.full(len(region), kind, np.int32), "region": region, "a": a, "b": b, "depth": depth.astype(np.int32)})
 
+    begin(__name__)
     held, told = None, False  # the last row so far, and whether it has been told as a member
     for whole in batches:
         for batch in small(whole, 1 << 16):
@@ -201,6 +202,7 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole groups of a partition sorted by its first column; the last group of a batch waits for the next."""
+    begin(__name__)
     rest: list[pa.RecordBatch] = []
     for whole in batches:
         for batch in small(whole, 8192):

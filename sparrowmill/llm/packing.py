@@ -16,14 +16,13 @@ each; an empty table gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, map_batches, pick, stash, table, texts_of
+from .common import Recent, held, map_batches, pick, stash, table, texts_of
 
 WINDOW, END_ID, BUCKETS = 1024, 0, 4096
 REMEMBER = 300_000
@@ -76,9 +75,8 @@ def _alphabet() -> dict[int, str]:
     return byte_alphabet()
 
 
-@cache
 def _ids(path: str) -> Ids:
-    return Ids(path)
+    return held((Ids, path), lambda: Ids(path))
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None, with_ids: bool = False) -> DataFrame:

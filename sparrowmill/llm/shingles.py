@@ -20,6 +20,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes whose words are hashed at once, so that tables of powers stay short whatever the length of a text (a longer word is one block).
+BLOCK = 1 << 18
+
+
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POW[0]) < n:
         size = 1 << (n - 1).bit_length()
@@ -38,10 +42,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = (a == 32) | ((a >= 9) & (a <= 13))
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, stops = edge[0::2], edge[1::2]
-    up, down = _powers(len(a) + 1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
-    h = (sums[stops] - sums[starts]) * down[starts]
+    h = np.empty(len(starts), np.uint64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(starts // BLOCK)) + 1, [len(starts)]]) if len(starts) else [0]
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        low = starts[x]
+        part = a[low : stops[y - 1]]
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        h[x:y] = (sums[stops[x:y] - low] - sums[starts[x:y] - low]) * down[starts[x:y] - low]
     h = mix(h + (stops - starts).astype(np.uint64) * _TURN[0])
     return h, np.concatenate([[0], np.searchsorted(starts, ends)])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pick, table, texts_of
+from .common import begin, map_batches, pick, small, table, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, RATIO = 4_000, 512, 4, 6.0, 20
@@ -191,7 +191,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        begin(__name__)
+        for batch in (piece for whole in batches for piece in small(whole)):
             bad = _columns(texts_of(batch.column(at)), model)["toxic"].to_pylist()
             yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
 

@@ -835,3 +835,26 @@ def test_rules_take_filters(odd):
     book = quality_rules.ledger(odd)
     for n in [*quality_rules.MEASURES, "fail_bits"]:
         assert book.where(F.col(n) > 1).count() == sum(r[n] > 1 for r in book.select(n).collect())
+
+
+def test_word_hashes_do_not_hang_on_blocks(monkeypatch):
+    """The same hashes whatever the length of a block: words across the cuts, words longer than a block, no words."""
+    texts = [t.encode() for t in ["", "   ", "one", prose(300), "z" * 900 + " a b " + "y" * 901, " \n x\ty\x0bz ", "日本 " * 90]]
+    h, at = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    g, to = shingles.word_hashes(texts)
+    assert (h == g).all() and (at == to).all()
+    words = [w for t in texts for w in re.split(rb"[\x20\x09-\x0d]+", t) if w]
+    assert len(words) == len(h) and len(dict(zip(words, h.tolist()))) == len(set(h.tolist())) == len(set(zip(words, h.tolist())))
+    assert len(shingles.word_hashes([])[0]) == len(shingles.word_hashes([b""])[0]) == 0
+
+
+def test_a_worker_keeps_the_state_of_one_operator():
+    made = []
+    make = lambda: made.append(1) or [1]
+    common.begin("a")
+    first = common.held("k", make)
+    common.begin("a")
+    assert common.held("k", make) is first and len(made) == 1
+    common.begin("b")
+    assert common.held("k", make) is not first and len(made) == 2
