@@ -117,6 +117,50 @@ def test_exact_als(spark, blocks, tmp_path):
     assert again.params == m.params and again.users.count() == 30
 
 
+@pytest.mark.parametrize("head", [1 << 20, 0])
+def test_exact_als_moves_no_matrices(spark, blocks, monkeypatch, head):
+    """Plain normal equations in numpy are met with hot entities, several rounds and entities without interactions, and the loss is that of the final factors."""
+    monkeypatch.setattr(als, "LIST", 8)
+    all_items = spark.range(25)
+    m = als.fit(blocks, factors=4, iterations=2, engine="exact", all_items=all_items, head=head, most=3000)
+    pairs = {(r["user"], r["item"]) for r in blocks.collect()}
+    start = lambda i, seed: np.random.default_rng([seed, i]).standard_normal(4).astype(np.float32) / np.sqrt(4)
+    u, v = np.stack([start(i, 42) for i in range(30)]), np.stack([start(i, 43) for i in range(25)])
+    seen = np.zeros((30, 25))
+    for a, b in pairs:
+        seen[a, b] = 1
+    losses = []
+    for _ in range(2):
+        for x, y, s in ((u, v, seen), (v, u, seen.T)):
+            y = y.astype(float)
+            for k in np.flatnonzero(s.sum(axis=1)):
+                own = y[s[k] > 0]
+                x[k] = np.linalg.solve(y.T @ y + 40 * own.T @ own + 0.01 * np.eye(4), 41 * own.sum(axis=0))
+        losses.append(41 * (seen * (1 - u.astype(float) @ v.T) ** 2).sum() + 0.01 * ((u.astype(float) ** 2).sum() + (v.astype(float) ** 2).sum()))
+    for got, want in ((m.users, u), (m.items, v)):
+        got = {r["id"]: r["features"] for r in got.collect()}
+        assert sorted(got) == list(range(len(want))) and np.allclose([got[k] for k in range(len(want))], want, rtol=1e-3, atol=1e-4)
+    assert np.allclose([h["train_loss"] for h in m.history], losses, rtol=1e-4)
+    assert np.isclose(m.history[-1]["train_loss"], als.loss(blocks, m), rtol=1e-6)
+
+
+def test_als_disk_follows_the_interactions(spark, tmp_path, monkeypatch):
+    """A sweep shuffled a matrix of 2,080 doubles for about every interaction."""
+    rng = np.random.default_rng(5)
+    rows = [(u, int(i)) for u in range(600) for i in rng.choice(400, 8, replace=False)]
+    pairs = spark.createDataFrame(rows, "user long, item long")
+    written = lambda: sum(s.shuffleWriteBytes() for s in _stages(spark))
+    before = written()
+    als.fit(pairs, factors=64, iterations=1, engine="exact")
+    assert written() - before < 4800 * 256
+
+
+def _stages(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    got = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [got.apply(i) for i in range(got.size())]
+
+
 def test_als_learns_the_blocks(spark, blocks):
     m = als.fit(blocks, factors=4, iterations=5, engine="mllib")
     recs = als.recommend(m, blocks.select("user"), blocks, 3).collect()
