@@ -161,6 +161,21 @@ def _stages(spark):
     return [got.apply(i) for i in range(got.size())]
 
 
+def test_mllib_deletes_what_its_iterations_moved(spark, blocks, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    class Asked(Exception):
+        pass
+
+    def fit(solver, data):
+        raise Asked(solver.getCheckpointInterval(), solver.getNumUserBlocks(), solver.getNumItemBlocks())
+
+    monkeypatch.setattr(ALS, "fit", fit)
+    with pytest.raises(Asked) as e:
+        als.fit(blocks, factors=4, iterations=2)
+    assert e.value.args == (1, als.BLOCKS, als.BLOCKS)
+
+
 def test_als_learns_the_blocks(spark, blocks):
     m = als.fit(blocks, factors=4, iterations=5, engine="mllib")
     recs = als.recommend(m, blocks.select("user"), blocks, 3).collect()
