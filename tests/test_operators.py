@@ -176,6 +176,29 @@ def test_mllib_deletes_what_its_iterations_moved(spark, blocks, monkeypatch):
     assert e.value.args == (1, als.BLOCKS, als.BLOCKS)
 
 
+def test_recommend_in_blocks_moves_no_vectors(spark):
+    """Every user's vector was shuffled once for each block of items."""
+    rng = np.random.default_rng(8)
+    frame = lambda: spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(64)]) for i in range(300)], "id long, features array<float>")
+    model = als.Model(frame(), frame(), {"factors": 64})
+    written = lambda: sum(s.shuffleWriteBytes() for s in _stages(spark))
+    before = written()
+    assert als.recommend(model, spark.range(300).withColumnRenamed("id", "user"), None, 1, 0, 10).count() == 300
+    assert written() - before < 1 << 20
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_best_by_brute_force(wide):
+    rng = np.random.default_rng(6)
+    s = rng.integers(0, 9, (50, 1500 if wide else 40)).astype(np.float32)
+    s[rng.random(s.shape) < 0.3] = -np.inf
+    s[7, 4:] = -np.inf
+    r, c = als._best(s, 6)
+    for k in range(50):
+        want = [j for j in sorted(range(s.shape[1]), key=lambda j: (-s[k, j], j)) if s[k, j] > -np.inf][:6]
+        assert c[r == k].tolist() == want
+
+
 def test_als_learns_the_blocks(spark, blocks):
     m = als.fit(blocks, factors=4, iterations=5, engine="mllib")
     recs = als.recommend(m, blocks.select("user"), blocks, 3).collect()
