@@ -410,6 +410,22 @@ def test_one_row_of_a_repeated_id(spark, monkeypatch, broadcast):
     assert got == sorted([(0, "x"), (0, "x"), (1, a), (2, b), (4, ""), (5, c)])
 
 
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_components_by_steps_and_on_the_driver(spark, few, monkeypatch):
+    """Chains and stars with self-edges; few edges are written once, not once for each step."""
+    edges = [(k, k + 3) for k in range(0, 60, 2)] + [(100, 100 + k) for k in range(5)] + [(k * 37 % 50 + 200, k * 11 % 50 + 200) for k in range(40)] + [(7, 7)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in edges:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    written, write = [], graphs.stash
+    monkeypatch.setattr(graphs, "stash", lambda df: written.append(1) or write(df))
+    got = graphs.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()
+    assert {r["node"]: r["root"] for r in got} == root and len(got) == len(root)
+    assert len(written) == 1 or not few
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(200 + r.randrange(40), 200 + r.randrange(40)) for _ in range(50)] + [(500, x) for x in range(501, 560)]
