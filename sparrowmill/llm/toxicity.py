@@ -6,7 +6,7 @@ them and from evidence of other documents: 0 for a document that isn't labelled
 by the number of its words (under 4, 4 to 8, more) that the toxic documents of the other half of the sample
 use far more often than others.  So no document's grade follows from words chosen on it, and every sampled row is kept.
 
-The model is fitted on the driver from at most `SAMPLE` labelled rows, half of them toxic at most,
+The model is fitted on the driver from the word counts of at most `SAMPLE` labelled rows, half of them toxic at most,
 chosen by the hash of their doc_id, with features from at most `FEATURES` words; both are documented bounds of a fit, and
 every document is scored.
 
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, map_batches, pick, small, table, texts_of
+from .common import begin, discard, map_batches, pick, small, stash, table, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, RATIO = 4_000, 512, 4, 6.0, 20
+#: Toxic documents that use a word, if few labels leave no better evidence.
+LEAST_ANY = 3
 GRADES = (4, 9)
 REJECT = 0.5
 #: How many times worse it is to reject a share of the clean documents than to keep the same share of the toxic ones.
@@ -67,17 +69,21 @@ def evidence(bags: list[Counter], toxic: np.ndarray) -> dict[str, float]:
     df = [Counter(), Counter()]
     for bag, t in zip(bags, toxic):
         df[int(t)].update(bag.keys())
-    n0, n1 = int((toxic == 0).sum()), int(toxic.sum())
+    return evidence_of(df[0], df[1], int((toxic == 0).sum()), int(toxic.sum()))
+
+
+def evidence_of(df0: dict[str, int], df1: dict[str, int], n0: int, n1: int) -> dict[str, float]:
+    """`evidence` from the numbers of other (0) and toxic (1) documents that use a word; words of under LEAST_ANY toxic ones don't matter."""
     out = {}
-    for w, a in df[1].items():
-        b = df[0][w]
+    for w, a in df1.items():
+        b = df0.get(w, 0)
         if a >= LEAST_DOCS:
             share = (a + b) / (n0 + n1)
             z = (a / n1 - b / n0) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
             if z > LEAST_Z and a * n0 > RATIO * b * n1:
                 out[w] = z
     if not out:  # few labels: the best words that only toxic documents use
-        only = sorted(((a, w) for w, a in df[1].items() if a >= 3 and not df[0][w]), key=lambda x: (-x[0], x[1]))
+        only = sorted(((a, w) for w, a in df1.items() if a >= LEAST_ANY and not df0.get(w)), key=lambda x: (-x[0], x[1]))
         out = {w: 1.0 for _, w in only[:FEATURES]}
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:FEATURES])
 
@@ -91,6 +97,10 @@ def crossed_grades(bags: list[Counter], toxic: np.ndarray) -> np.ndarray:
         found = evidence([bags[r] for r in rows], toxic[rows]) if len(set(toxic[rows].tolist())) == 2 else {}
         for r in np.flatnonzero(half == k).tolist():
             hits[r] = sum(n for w, n in bags[r].items() if w in found)
+    return _grades(hits, toxic)
+
+
+def _grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 1, 1 + np.searchsorted(GRADES, hits, side="right"), 0)
 
 
@@ -111,22 +121,30 @@ def likelihood(params: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.
     return float((weight * np.log(p)).mean() - 0.5 * l2 * (w @ w)), grad
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.3, l2: float = 1e-3) -> Model:
-    """Gradient ascent (Adam) on the likelihood of the grades."""
+#: A model by which nothing is toxic.
+NONE = Model({}, (40.0, 41.0, 42.0))
+
+
+def fit(texts: list[str], toxic: list[int], **how) -> Model:
+    """The model of these texts; `train` makes the same one of a table without their texts."""
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
-        return Model({}, (40.0, 41.0, 42.0))
-    intern: dict[str, str] = {}
-    bags = [Counter([intern.setdefault(w, w) for w in WORD.findall(t.lower())]) for t in texts]
+        return NONE
+    bags = [Counter(WORD.findall(t.lower())) for t in texts]
     words = list(evidence(bags, y))
-    if not words:
-        return Model({}, (40.0, 41.0, 42.0))
     at = {w: k for k, w in enumerate(words)}
     raw = np.zeros((len(bags), len(words)), np.float64)
     for r, bag in enumerate(bags):
         for w in bag.keys() & at.keys():
             raw[r, at[w]] = bag[w]
-    x, grade = np.log1p(raw), crossed_grades(bags, y)
+    return ascend(words, raw, crossed_grades(bags, y), y, **how)
+
+
+def ascend(words: list[str], raw: np.ndarray, grade: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.3, l2: float = 1e-3) -> Model:
+    """Gradient ascent (Adam) on the likelihood of the grades.  `raw`: how often each row has each of `words`."""
+    if not words:
+        return NONE
+    x = np.log1p(raw)
     # toxic documents are few: both kinds weigh the same in the likelihood
     share = np.bincount(y, minlength=2) / len(y)
     weight = 0.5 / share[y]
@@ -160,16 +178,70 @@ def cut(score: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents; the order by hash makes the choice repeatable.  Their texts go to the driver."""
+    """Fit on at most `sample` labelled documents; the order by hash makes the choice repeatable.
+
+    Texts may be long, so they and their words stay on the executors.  The driver gets the rows' ids, in how many rows the words
+    of toxic documents are, and then for each row the counts of the chosen words.
+    """
     rows = pick(labels, "doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [rows.where((F.col("toxic") > 0) == F.lit(k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (False, True)]
     # `sample` rows of 12 bytes: the broadcast is bounded.
     got = pick(docs, "doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").dropDuplicates(["doc_id"])
-    texts, toxic = [], []
-    for r in sorted(got.collect(), key=lambda r: r["doc_id"]):
-        texts.append(r["text"] or "")
-        toxic.append(int(r["toxic"] > 0))
-    return fit(texts, toxic)
+    bags = stash(got.select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic boolean, words array<string>, counts array<int>"))
+    ids = sorted((r["doc_id"], r["toxic"]) for r in bags.select("doc_id", "toxic").collect())
+    y = np.array([int(t) for _, t in ids])
+    model = NONE
+    if len(y) and y.min() != y.max():
+        place = {i: r for r, (i, _) in enumerate(ids)}
+        model = _trained(bags, y, place)
+    discard(bags)
+    return model
+
+
+def _bags(batches):
+    begin(__name__)
+    for batch in (piece for whole in batches for piece in small(whole, 64)):
+        counts = [Counter(WORD.findall(t.lower())) for t in texts_of(batch.column(2))]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": pa.array([t > 0 for t in batch.column(1).to_pylist()], pa.bool_()),
+                                          "words": pa.array([list(c) for c in counts], pa.list_(pa.string())), "counts": pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))})
+
+
+def _trained(bags: DataFrame, y: np.ndarray, place: dict[int, int]) -> Model:
+    """The model of `bags`, whose rows are at `place` in the order of their ids and toxic by `y`."""
+    half = bags.sparkSession.createDataFrame([(i, r % 2) for i, r in place.items()], "doc_id long, half int")
+    used = bags.join(F.broadcast(half), "doc_id").select("toxic", "half", F.explode("words").alias("word"))  # a row for each of the sample
+    kinds = [(k, t) for k in (0, 1) for t in (False, True)]
+    df = used.groupBy("word").agg(*[F.count_if((F.col("half") == k) & (F.col("toxic") == F.lit(t))).alias(f"n{k}{int(t)}") for k, t in kinds]).where(f"n01 + n11 >= {LEAST_ANY}")
+    table_ = [(r["word"], r["n00"], r["n01"], r["n10"], r["n11"]) for r in df.collect()]
+
+    def of(halves: tuple[int, ...]) -> dict[str, float]:
+        mine = y[np.isin(np.arange(len(y)) % 2, halves)]
+        if len(set(mine.tolist())) < 2:
+            return {}
+        n = [{r[0]: c for r in table_ if (c := sum(r[1 + 2 * k + t] for k in halves))} for t in (0, 1)]
+        return evidence_of(*n, int((mine == 0).sum()), int(mine.sum()))
+
+    words, found = list(of((0, 1))), [of((1,)), of((0,))]  # a row's hits are those of the other half's words
+    at = {w: k for k, w in enumerate(words)}
+
+    def counted(batches):
+        begin(__name__)
+        for batch in (piece for whole in batches for piece in small(whole, 64)):
+            raws, hits = [], []
+            for i, ws, ns in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                raw = np.zeros(len(at), np.int32)
+                for w, n in zip(ws, ns):
+                    if w in at:
+                        raw[at[w]] = n
+                raws.append(raw.tobytes())
+                hits.append(sum(n for w, n in zip(ws, ns) if w in found[place[i] % 2]))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "hits": pa.array(hits, pa.int64()), "raw": pa.array(raws, pa.binary())})
+
+    hits, raw = np.zeros(len(y), np.int64), np.zeros((len(y), len(words)), np.float64)
+    for r in bags.select("doc_id", "words", "counts").mapInArrow(counted, "doc_id long, hits long, raw binary").collect():
+        hits[place[r["doc_id"]]] = r["hits"]
+        raw[place[r["doc_id"]]] = np.frombuffer(r["raw"], np.int32)
+    return ascend(words, raw, _grades(hits, y), y)
 
 
 def _columns(texts: list[str], model: Model) -> dict:

@@ -782,6 +782,30 @@ def test_toxicity(labelled, odd, none):
     assert toxicity.graded(odd, toxicity.train(docs, labels.limit(0))).where("toxic").count() == 0
 
 
+def test_toxicity_fits_without_texts_on_the_driver(spark, monkeypatch):
+    """The texts of all labelled rows were collected: long ones pass the driver's memory and spark.driver.maxResultSize."""
+    r = random.Random(7)
+    rows, texts = [], []
+    for k in range(120):
+        bad = ["vile", "awful", "hateful"] if k % 3 == 0 else []
+        texts.append(" ".join(r.choice([*WORDS, *bad]) for _ in range(200)) + "\n" + " ".join(f"{''.join(r.choices('abcdefghij', k=8))}" for _ in range(3000)))
+        rows.append((k * 7, texts[-1], int(k % 3 == 0)))
+    both = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, toxic int").repartition(3).cache()
+    sent, frame = [], type(both)
+    collect = frame.collect
+
+    def measured(df):
+        got = collect(df)
+        sent.append(sum(len(str(tuple(x))) for x in got))
+        return got
+
+    monkeypatch.setattr(frame, "collect", measured)
+    model = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
+    assert sum(sent) < 0.1 * sum(map(len, texts))
+    want = toxicity.fit(texts, [t for *_, t in rows])
+    assert set(want.weights) >= {"vile", "awful", "hateful"} and model == want
+
+
 # --- pipeline
 
 
