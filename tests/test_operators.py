@@ -144,6 +144,26 @@ def test_exact_als_moves_no_matrices(spark, blocks, monkeypatch, head):
     assert np.isclose(m.history[-1]["train_loss"], als.loss(blocks, m), rtol=1e-6)
 
 
+def test_exact_als_on_blocks(spark, monkeypatch):
+    """Factors beyond `head` bytes were joined to each interaction, a round at a time."""
+    rng = np.random.default_rng(9)
+    rows = [(u * 3, int(i)) for u in range(80) for i in rng.choice(60, int(rng.integers(1, 14)), replace=False)]
+    pairs = spark.createDataFrame([*rows, *rows[:9]], "user long, item long")
+    monkeypatch.setattr(als.als_blocks, "PAIRS", 100)
+    moved = []
+    monkeypatch.setattr(als, "update", lambda *a, _u=als.update, **k: moved.append(1) or _u(*a, **k))
+    seen = lambda it, m: {"n": m.users.count() + m.items.count()}
+    got = als.fit(pairs, factors=8, iterations=3, engine="exact", head=0, each=seen)
+    assert not moved
+    want = als.fit(pairs, factors=8, iterations=3, engine="exact", each=seen)
+    assert moved and [h["n"] for h in got.history] == [h["n"] for h in want.history]
+    assert np.allclose([h["train_loss"] for h in got.history], [h["train_loss"] for h in want.history], rtol=1e-4)
+    for a, b in ((got.users, want.users), (got.items, want.items)):
+        a, b = ({r["id"]: r["features"] for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a], rtol=1e-3, atol=1e-3)
+    assert np.isclose(got.history[-1]["train_loss"], als.loss(pairs.distinct(), got), rtol=1e-5)
+
+
 def test_als_disk_follows_the_interactions(spark, tmp_path, monkeypatch):
     """A sweep shuffled a matrix of 2,080 doubles for about every interaction."""
     rng = np.random.default_rng(5)
